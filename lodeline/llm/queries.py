@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import secrets
+from lodeline.llm import parsing, secrets
 from lodeline.session import table
 
 
@@ -25,5 +25,21 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files with a syntax error in the language of their extension."""
+    judged = parsing.judge_files(table(spark, d, "source_file"), table(spark, d, "language_spec"))
+    return judged.where(F.col("error_at").isNotNull()).select("file_id")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of broken files for each repository and language."""
+    return parsing.broken_rates(parsing.judge_files(table(spark, d, "source_file"), table(spark, d, "language_spec")))
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
+}
 ORACLE: dict[str, str] = {}
