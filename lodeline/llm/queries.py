@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import parsing, secrets
+from lodeline.llm import langid, parsing, secrets
 from lodeline.session import table
 
 
@@ -36,10 +36,23 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.broken_rates(parsing.judge_files(table(spark, d, "source_file"), table(spark, d, "language_spec")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of documents that mix languages or whose label is missing or wrong."""
+    found = langid.segments(table(spark, d, "documents"))
+    return found.where(~F.col("label_right")).select("doc_id", "segment_no", "lang")
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every segment of every document."""
+    return langid.segments(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
+    "p9_found": p9_found,
+    "p9_languages": p9_languages,
 }
 ORACLE: dict[str, str] = {}
