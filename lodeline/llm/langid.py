@@ -28,6 +28,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS, SAMPLE_CHARS, TEXT_CHARS = 250, 4_000, 60_000
+#: Votes and share of votes from which a sentence of the sample keeps its label without a cross-check.
+CLEAR_VOTES, CLEAR_SHARE = 3, 0.6
 
 # fixed values: code, other codes and names of each language
 LANGUAGES = {
@@ -213,13 +215,17 @@ def fit(sample: list[tuple[str, str]]) -> dict[str, str]:
             for s in sentences(line):
                 votes[s][code] += 1
     for _ in range(2):
-        # each sentence is judged by automata that never saw it, so that no wrong label can vouch for itself
+        # few votes: each sentence is judged by automata that never saw it, so that no wrong label can vouch for itself
         halves = [{s: c for s, c in votes.items() if zlib.crc32(s.encode()) % 2 == k} for k in (0, 1)]
         judges = [Judge(_texts(h)) for h in halves]
         kept: dict[str, Counter] = {}
         for k, half in enumerate(halves):
             other = judges[1 - k]
             for s, labels in half.items():
+                (top, n), *_ = labels.most_common(1)
+                if n >= CLEAR_VOTES and n >= CLEAR_SHARE * labels.total():
+                    kept[s] = Counter({top: n})
+                    continue
                 got = other.line(s)
                 if got is not None and other.codes[got[0]] in labels:
                     kept[s] = Counter({other.codes[got[0]]: labels[other.codes[got[0]]]})
