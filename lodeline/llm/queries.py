@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import langid, parsing, secrets
+from lodeline.llm import langid, mixing, packing, parsing, secrets
 from lodeline.session import table
 
 
@@ -36,6 +36,29 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.broken_rates(parsing.judge_files(table(spark, d, "source_file"), table(spark, d, "language_spec")))
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in containers of every kind."""
+    return packing.pack_documents(packing.measured(table(spark, d, "documents")), table(spark, d, "container_spec"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    kinds = table(spark, d, "container_spec")
+    return packing.fill_report(packing.pack_documents(packing.measured(table(spark, d, "documents")), kinds), kinds)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a document in the largest mix that meets all target shares."""
+    targets = table(spark, d, "mix_target")
+    return mixing.mix(mixing.sized(table(spark, d, "documents"), targets), targets)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    targets = table(spark, d, "mix_target")
+    return mixing.share_report(mixing.mix(mixing.sized(table(spark, d, "documents"), targets), targets), targets)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Segments of documents that mix languages or whose label is missing or wrong."""
     found = langid.segments(table(spark, d, "documents"))
@@ -52,6 +75,10 @@ QUERIES = {
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_languages": p9_languages,
 }
