@@ -9,8 +9,9 @@ The largest total at which every source can deliver its share within its repeats
 (source, hash range) and only then over ranges, so no source is ever in one task.
 
 Defined cases: null and empty texts, null sources and sources without a target take no part; targets without any
-document or with a share of 0 get 0 blocks, and the other shares keep their proportions; a document is taken whole, so a source ends within one
-document of its quota; equal hashes are ordered by ``doc_id``; empty tables give an empty mix; further columns are ignored.
+document or with a share of 0 get 0 blocks, and the other shares keep their proportions; documents
+are taken whole, one that does not fit into what is left of a quota is passed over for shorter ones behind it, and a
+source ends less than one block below its quota unless no document is short enough; no quota is exceeded; equal hashes are ordered by ``doc_id``; empty tables give an empty mix; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,32 +76,67 @@ def sized(documents: DataFrame, targets: DataFrame, folder: str = T.TOKENIZERS,
     return spread(rows, "doc_id").mapInArrow(_count(folder, vocabulary), "doc_id long, source string, tokens long").where(F.col("tokens") > 0)
 
 
+def _starts(rows: DataFrame, name: str) -> DataFrame:
+    """Adds the tokens in front of each row of its source, in seeded order; sums by hash range first, so none is in one task."""
+    ranges = rows.groupBy("source", "range_no").agg(F.sum("tokens").alias("in_range"))
+    front = F.sum("in_range").over(W.partitionBy("source").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1))
+    before = ranges.select("source", "range_no", F.coalesce(front, F.lit(0)).alias("before"))  # at most RANGES rows a source
+    w = W.partitionBy("source", "range_no").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = rows.withColumn("inside", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
+    return inside.join(before, ["source", "range_no"]).withColumn(name, F.col("before") + F.col("inside")).drop("before", "inside")
+
+
+def _fill(laid: DataFrame, gaps: dict[str, int], done: dict[str, int], passes: dict[str, int], most: dict[str, int], block: int) -> DataFrame | None:
+    """Documents of partial passes: (source, doc_id, tokens, pass_no, at). Each round takes, in seeded order, what fits
+    into the room left, up to the first that does not; the next goes on behind it with those that are short enough; where a pass ends early for want of those, the next one repeats them."""
+    spark, after, parts = laid.sparkSession, dict.fromkeys(gaps, -1), []
+    live = [s for s, g in gaps.items() if g > 0 and passes[s] <= most[s]]
+    while live:
+        state = spark.createDataFrame([(s, gaps[s], after[s], done[s], passes[s]) for s in live], "source string, gap long, after long, done long, pass_no long")  # one row a target
+        fits = laid.join(F.broadcast(state), "source").where((F.col("start") > F.col("after")) & (F.col("tokens") <= F.col("gap")))
+        fits = cut(_starts(fits, "ahead").where(F.col("ahead") < F.col("gap")))
+        taken = F.col("ahead") + F.col("tokens") <= F.col("gap")
+        parts.append(fits.where(taken).select("source", "doc_id", "tokens", "pass_no", (F.col("done") + F.col("ahead")).alias("at")))
+        sums = fits.groupBy("source").agg(F.coalesce(F.sum(F.when(taken, F.col("tokens"))), F.lit(0)).alias("n"), F.min(F.when(~taken, F.col("start"))).alias("stop"))
+        live = []
+        for r in sums.collect():
+            s = r["source"]
+            gaps[s], done[s], after[s] = gaps[s] - r["n"], done[s] + r["n"], r["stop"]
+            if gaps[s] < block:
+                continue
+            if r["stop"] is None:  # nothing behind is short enough: once more from the front
+                after[s], passes[s] = -1, passes[s] + 1
+            if passes[s] <= most[s]:
+                live.append(s)
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(source, doc_id, pass_no, shard, block_no, tokens): one row for each use of a document."""
-    laid = cut(sizes.select("source", "doc_id", "tokens", F.xxhash64(F.lit(seed), "source", "doc_id").alias("h")).withColumn("range_no", F.pmod("h", F.lit(RANGES))))
-    ranges = laid.groupBy("source", "range_no").agg(F.sum("tokens").alias("in_range"))
+    spark = sizes.sparkSession
+    rows = sizes.select("source", "doc_id", "tokens", F.xxhash64(F.lit(seed), "source", "doc_id").alias("h")).withColumn("range_no", F.pmod("h", F.lit(RANGES)))
+    laid = cut(_starts(cut(rows), "start"))
     goal = {r["source"]: (r["target_share"] or 0.0, max(1, r["max_repeats"] or 1)) for r in targets.collect() if r["source"] is not None}
-    have = {r["source"]: r["n"] for r in ranges.groupBy("source").agg(F.sum("in_range").alias("n")).collect()}
+    have = {r["source"]: r["n"] for r in laid.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # one row a target
     shares = {s: w for s, (w, _) in goal.items() if w > 0 and have.get(s)}
     weight = sum(shares.values()) or 1.0
     reach = min((have[s] * goal[s][1] * weight / w for s, w in shares.items()), default=0)
     blocks = int((reach if total_tokens is None else total_tokens) // block)
     ends = quotas(shares, blocks, shards)
-    plan = [(s, ends[s][-1] * block, have[s], goal[s][1], ends[s]) for s in sorted(shares)]
-    spark = sizes.sparkSession
-    quota = spark.createDataFrame(plan, "source string, quota long, have long, max_repeats int, ends array<long>")  # one row a target
-    before = F.coalesce(F.sum("in_range").over(W.partitionBy("source").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranges.select("source", "range_no", before.alias("before"))  # RANGES rows a source
-    w = W.partitionBy("source", "range_no").orderBy("h", "doc_id")
-    inside = F.coalesce(F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = laid.withColumn("inside", inside).join(offsets, ["source", "range_no"]).join(F.broadcast(quota), "source")
-    start = F.col("before") + F.col("inside")
-    uses = F.least(F.col("max_repeats").cast("long"), F.ceil((F.col("quota") - start) / F.col("have")))
-    used = placed.withColumn("start", start).withColumn("uses", uses).where(F.col("uses") > 0)
-    copies = used.withColumn("pass_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
-    number = F.floor((F.col("start") + (F.col("pass_no") - 1) * F.col("have")) / block)
-    shard = F.size(F.filter("ends", lambda e: e <= F.col("block_no")))
-    return copies.withColumn("block_no", number).select("source", "doc_id", "pass_no", shard.alias("shard"), "block_no", "tokens")
+    quota = {s: min(ends[s][-1] * block, have[s] * goal[s][1]) for s in shares}
+    full = {s: quota[s] // have[s] for s in shares}
+    plan = spark.createDataFrame([(s, full[s], have[s], ends[s]) for s in sorted(shares)], "source string, full long, have long, ends array<long>")  # one row a target
+    whole = laid.join(F.broadcast(plan), "source").where(F.col("full") > 0).withColumn("pass_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("full"))))
+    used = whole.select("source", "doc_id", "tokens", "pass_no", (F.col("start") + (F.col("pass_no") - 1) * F.col("have")).alias("at"))
+    part = _fill(laid, {s: quota[s] - full[s] * have[s] for s in shares}, {s: full[s] * have[s] for s in shares}, {s: full[s] + 1 for s in shares}, {s: goal[s][1] for s in shares}, block)
+    if part is not None:
+        used = used.unionByName(part)
+    shard = F.least(F.size(F.filter("ends", lambda e: e <= F.col("block_no"))), F.lit(shards - 1))
+    placed = used.join(F.broadcast(plan.select("source", "ends")), "source").withColumn("block_no", F.floor(F.col("at") / block))
+    return placed.select("source", "doc_id", "pass_no", shard.alias("shard"), "block_no", "tokens")
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
