@@ -98,9 +98,12 @@ def _fill(laid: DataFrame, gaps: dict[str, int], done: dict[str, int], passes: d
         taken = F.col("ahead") + F.col("tokens") <= F.col("gap")
         parts.append(fits.where(taken).select("source", "doc_id", "tokens", "pass_no", (F.col("done") + F.col("ahead")).alias("at")))
         sums = fits.groupBy("source").agg(F.coalesce(F.sum(F.when(taken, F.col("tokens"))), F.lit(0)).alias("n"), F.min(F.when(~taken, F.col("start"))).alias("stop"))
-        live = []
-        for r in sums.collect():
-            s = r["source"]
+        found = {r["source"]: r for r in sums.collect()}
+        live, tried = [], live
+        for s in tried:
+            r = found.get(s) or {"n": 0, "stop": None}
+            if s not in found and after[s] == -1:
+                continue  # no document of the source is short enough
             gaps[s], done[s], after[s] = gaps[s] - r["n"], done[s] + r["n"], r["stop"]
             if gaps[s] < block:
                 continue
