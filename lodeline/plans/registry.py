@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems",)
+MODULES = ("problems", "exact", "graphs")
 
 
 def _collect(what: str) -> dict:
