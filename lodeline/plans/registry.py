@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "exact", "graphs")
+MODULES = ("problems", "exact", "graphs", "texts")
 
 
 def _collect(what: str) -> dict:
