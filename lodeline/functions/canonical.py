@@ -21,8 +21,10 @@ def _number(text: str):
         return text
     if value.is_zero():
         return 0
-    sign, digits, exponent = value.normalize().as_tuple()
-    body = "".join(map(str, digits))
+    sign, digits, exponent = value.as_tuple()  # exact: normalize() would round long numbers
+    body = "".join(map(str, digits)).lstrip("0")
+    exponent += len(body) - len(body.rstrip("0"))
+    body = body.rstrip("0")
     # plain integers of ordinary length print as such; all else keeps a mantissa and an exponent
     if 0 <= exponent <= 18:
         return int(("-" if sign else "") + body + "0" * exponent)

@@ -70,5 +70,5 @@ def normalise_instants(fields: DataFrame, sites: DataFrame, keys: list[str], can
     written = F.col("zone") != ""
     zone = F.when(written, F.col("zone")).otherwise(F.coalesce("time_zone", "estimated_zone", F.lit("UTC")))
     source = F.when(F.col("epoch").isNotNull(), "number").when(written, "text").when(F.col("time_zone").isNotNull(), "site").otherwise("estimate")
-    out = parts.withColumn("zone", zone).withColumn("utc_us", F.coalesce("epoch", utc_micros(F.col("local"), F.col("zone"), regions)))
-    return out.where(F.col("utc_us").isNotNull()).select(*keys, "field_name", "utc_us", source.alias("zone_source"))
+    out = parts.withColumn("zone_source", source).withColumn("zone", zone).withColumn("utc_us", F.coalesce("epoch", utc_micros(F.col("local"), F.col("zone"), regions)))
+    return out.where(F.col("utc_us").isNotNull()).select(*keys, "field_name", "utc_us", "zone_source")
