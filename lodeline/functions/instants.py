@@ -60,18 +60,29 @@ def fields_of(text: Column) -> Column:
     return out
 
 
+def _table(pairs: dict[str, int]) -> Column:
+    """A lookup table that is one literal in the plan, however many entries it has."""
+    return F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in pairs.items())), F.lit(","), F.lit(":"))
+
+
 def _month(name: Column) -> Column:
-    table = F.create_map(*[x for i, names in enumerate(MONTHS, 1) for n in names for x in (F.lit(n), F.lit(i))])
-    return F.try_element_at(table, F.lower(name))
+    table = _table({n: i for i, names in enumerate(MONTHS, 1) for n in names})
+    return F.try_element_at(table, F.lower(name)).try_cast("int")
 
 
 def _int(part: Column) -> Column:
     return F.when(part != "", part).try_cast("int")
 
 
-def local_parts(fields: Column, date_order: Column) -> tuple[Column, Column, Column]:
-    """(local, zone, epoch): the wall-clock microseconds as if in UTC, the zone text, and microseconds of bare numbers."""
-    p = F.split(fields, r"\|", -1)
+def split_fields(fields: Column) -> Column:
+    return F.split(fields, r"\|", -1)
+
+
+def local_parts(p: Column, date_order: Column) -> tuple[Column, Column, Column]:
+    """(local, zone, epoch): the wall-clock microseconds as if in UTC, the zone text, and microseconds of bare numbers.
+
+    ``p`` is the split field list, as a column of its own, so that it is split once.
+    """
     at = lambda i: F.get(p, F.lit(i))
     order = at(9)
     first, second = _int(at(1)), _int(at(2))
@@ -101,17 +112,21 @@ def offset_minutes(zone: Column) -> Column:
     sign = F.when(F.regexp_extract(zone, r"([+-])\d{2}:?(?:\d{2})?$", 1) == "-", -1).otherwise(1)
     hours = _int(F.regexp_extract(zone, r"^(?:UTC|GMT)?[+-](\d{2})", 1))
     minutes = F.coalesce(_int(F.regexp_extract(zone, r"[+-]\d{2}:?(\d{2})$", 1)), F.lit(0))
-    table = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])
-    return F.when(zone.rlike(r"[+-]\d{2}"), F.when((hours <= 18) & (minutes < 60), sign * (hours * 60 + minutes))).otherwise(F.try_element_at(table, F.upper(zone)))
+    fixed = F.try_element_at(_table(ABBREVIATIONS), F.upper(zone)).try_cast("int")
+    return F.when(zone.rlike(r"[+-]\d{2}"), F.when((hours <= 18) & (minutes < 60), sign * (hours * 60 + minutes))).otherwise(fixed)
+
+
+def is_region(zone: Column, regions: list[str]) -> Column:
+    """Whether a text is the name of a region; the names are one literal in the plan."""
+    return zone.contains("/") & (F.find_in_set(zone, F.lit(",".join(regions))) > 0)
 
 
-def utc_micros(local: Column, zone: Column, regions: list[str]) -> Column:
-    """Microseconds of a wall-clock time in a zone; null if the zone is unknown.
+def utc_micros(local: Column, zone: Column, minutes: Column, regions: list[str]) -> Column:
+    """Microseconds of a wall-clock time in a zone, ``minutes`` being its fixed offset if it has one; null if the zone is unknown.
 
     A time the clock showed twice or skipped has the offset in force before the change.
     """
-    minutes = offset_minutes(zone)
-    named = zone.isin(regions)
+    named = is_region(zone, regions)
     in_region = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), F.when(named, zone).otherwise("UTC")))
     return F.when(minutes.isNotNull(), local - minutes.cast("long") * 60_000_000).when(named, in_region)
 

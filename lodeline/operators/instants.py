@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.instants import fields_of, known_regions, local_parts, offset_minutes, utc_micros
+from lodeline.functions.instants import fields_of, is_region, known_regions, local_parts, offset_minutes, split_fields, utc_micros
 
 #: Candidate zones of an unknown site.
 CANDIDATES = (
@@ -25,15 +25,15 @@ CANDIDATES = (
 
 
 def read_fields(df: DataFrame, columns: dict[str, str], keys: list[str]) -> DataFrame:
-    """(keys, site_id, taken_at, field_name, fields): one row for each text of a known form."""
+    """(keys, site_id, taken_at, field_name, fields): one row for each text; ``fields`` is null if it has no known form."""
     pairs = F.array(*[F.struct(F.lit(name).alias("field_name"), F.col(col).cast("string").alias("text")) for name, col in columns.items()])
     long = df.select(*keys, "site_id", F.col("acquired_at").alias("taken_at"), F.explode(F.filter(pairs, lambda p: p["text"].isNotNull())).alias("value"))
-    return long.select(*keys, "site_id", "taken_at", "value.field_name", fields_of(F.col("value.text")).alias("fields")).where(F.col("fields").isNotNull())
+    return long.select(*keys, "site_id", "taken_at", "value.field_name", fields_of(F.col("value.text")).alias("fields"))
 
 
 def _parts(df: DataFrame) -> DataFrame:
-    local, zone, epoch = local_parts(F.col("fields"), F.col("date_order"))
-    return df.withColumn("local", local).withColumn("zone", zone).withColumn("epoch", epoch)
+    local, zone, epoch = local_parts(F.col("parts"), F.col("date_order"))
+    return df.withColumn("parts", split_fields(F.col("fields"))).withColumn("local", local).withColumn("zone", zone).withColumn("epoch", epoch)
 
 
 def estimate_zones(parts: DataFrame, regions: list[str], candidates: tuple[str, ...] = CANDIDATES, tolerance: float = 0.002) -> DataFrame:
@@ -61,14 +61,21 @@ def normalise_instants(fields: DataFrame, sites: DataFrame, keys: list[str], can
     """
     regions = known_regions(fields.sparkSession)
     register = sites.groupBy("site_id").agg(F.max_by("time_zone", F.coalesce("time_zone", F.lit(""))).alias("time_zone"), F.max("date_order").alias("date_order"))
-    usable = F.col("time_zone").isin(regions) | offset_minutes(F.col("time_zone")).isNotNull()
+    usable = is_region(F.col("time_zone"), regions) | offset_minutes(F.col("time_zone")).isNotNull()
     register = register.withColumn("time_zone", F.when(usable, F.col("time_zone")))
-    placed = fields.join(register, "site_id", "left")
-    unknown = _parts(placed.where(F.col("time_zone").isNull()))
-    estimated = estimate_zones(unknown, regions, candidates).select(F.col("site_id").alias("est_site"), "estimated_zone")
-    parts = _parts(placed).join(estimated, F.col("site_id").eqNullSafe(F.col("est_site")) & F.col("time_zone").isNull(), "left")
+    placed = fields.where(F.col("fields").isNotNull()).join(register, "site_id", "left")
+    parts = _parts(placed)
+    # only the site column is read to see whether any zone has to be estimated
+    lost = fields.select("site_id").distinct().join(register.where(F.col("time_zone").isNotNull()), "site_id", "left_anti")
+    if lost.take(1):
+        unknown = _parts(placed.where(F.col("time_zone").isNull()))
+        estimated = estimate_zones(unknown, regions, candidates).select(F.col("site_id").alias("est_site"), "estimated_zone")
+        parts = parts.join(estimated, F.col("site_id").eqNullSafe(F.col("est_site")) & F.col("time_zone").isNull(), "left")
+    else:
+        parts = parts.withColumn("estimated_zone", F.lit(None).cast("string"))
     written = F.col("zone") != ""
     zone = F.when(written, F.col("zone")).otherwise(F.coalesce("time_zone", "estimated_zone", F.lit("UTC")))
     source = F.when(F.col("epoch").isNotNull(), "number").when(written, "text").when(F.col("time_zone").isNotNull(), "site").otherwise("estimate")
-    out = parts.withColumn("zone_source", source).withColumn("zone", zone).withColumn("utc_us", F.coalesce("epoch", utc_micros(F.col("local"), F.col("zone"), regions)))
+    out = parts.withColumn("zone_source", source).withColumn("zone", zone).withColumn("minutes", offset_minutes(F.col("zone")))
+    out = out.withColumn("utc_us", F.coalesce("epoch", utc_micros(F.col("local"), F.col("zone"), F.col("minutes"), regions)))
     return out.where(F.col("utc_us").isNotNull()).select(*keys, "field_name", "utc_us", "zone_source")

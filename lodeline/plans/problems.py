@@ -59,7 +59,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
     """The zone each site's zone-less texts speak for, beside the one the register declares."""
     sites = table(spark, d, "source_site")
-    parts = _parts(_instants(spark, d).where(F.col("field_name").isin("updated", "authored_at")).join(sites.select("site_id", "date_order"), "site_id", "left"))
+    parts = _parts(_instants(spark, d).where(F.col("fields").isNotNull() & F.col("field_name").isin("updated", "authored_at")).join(sites.select("site_id", "date_order"), "site_id", "left"))
     found = estimate_zones(parts, known_regions(spark))
     return found.join(sites.select("site_id", "time_zone"), "site_id").select("site_id", "time_zone", "estimated_zone", "rows", "violations")
 
