@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "exact", "graphs", "texts", "rewrites")
+MODULES = ("problems", "exact", "graphs", "texts", "rewrites", "contexts")
 
 
 def _collect(what: str) -> dict:
