@@ -24,7 +24,7 @@ _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 # > is always one token: the grammar joins >> and >= where the context wants an operator
 _PUNCT = re.compile(r"\.\.\.|=>|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|==|!=|<=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@]")
-_MARK = re.compile(r"(?:<{7}|>{7}|\|{7})(?: |$)|={7}$", re.M)
+_MARK = re.compile(r"(?:(?:<{7}|>{7}|\|{7})(?=[ \r\n]|\Z)|={7}(?=\r|\n|\Z))")
 _GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b|=[^=>'\"{])")
 _TAG = re.compile(r"[A-Za-z_$][\w$-]*(?:(?:\s*[.:]\s*)[A-Za-z_$][\w$-]*)*")
 _ATTR = re.compile(r"[A-Za-z_$][\w$-]*(?:\s*:\s*[A-Za-z_$][\w$-]*)?")
