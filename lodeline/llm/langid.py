@@ -9,7 +9,7 @@ the sample are left out, so wrong labels do not teach. Every document is then ju
 
 Defined cases: null and empty texts and texts without natural language have no segments; lines without natural
 language (blank, fenced or indented code, links, tables, ids) belong to the segment before them, at the start to the
-first; words in quotes and in backquotes do not count; a label is right if it names the language by any usual code,
+first; words in quotes and in backquotes, addresses, paths and identifiers do not count; a label is right if it names the language by any usual code,
 region variant or name; ties go to the language first in the alphabet; repeated rows are each judged; an input without
 any usable label gives no segments; further columns are ignored.
 """
@@ -55,43 +55,64 @@ def label_language(label: str | None) -> str | None:
 
 
 _FENCE = re.compile(r"^\s{0,3}(?:```|~~~)")
-_CODE_LINE = re.compile(r"^(?: {4,}|\t)\S|[;{}]\s*$|^\s*\|.*\|\s*$|^\s*(?:at|const|let|var|def|import|from|return|class)\s.*[(){};=:\"']|\w\s*:?=\s*[\[({\"'\d\w]|=>|^\s*[-=*_|+:#\s]+$")
-_DROP = re.compile(
-    r"`[^`]*`|https?://\S+|\S+@\S+|\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|»[^«]*«|「[^」]*」|『[^』]*』|‘[^’]*’|‹[^›]*›|(?<!\w)'[^']*'(?!\w)"
-    r"|[\w.-]*[/\\][\w./\\-]*|\b\w*[a-z0-9]\w*[A-Z]\w*\b|\b\w*[\d_#]\w*(?:-\w+)*|\b[A-Za-z]+-\d+\b|\w+#\d+|\b\w+\.(?:ts|tsx|js|py|md|json|yaml|yml|toml|sql)\b"
-)
-_WORD = re.compile(r"[^\W\d_]{2,}")
+_CODE_HINT = re.compile(r"^[ \t]|[;{}|=(]|^\s*$")
+_CODE_LINE = re.compile(r"^(?: {4,}|\t)\S|[;{}]\s*$|^\s*\|.*\|\s*$|^\s*(?:at|const|let|var|def|import|from|return|class)\s.*[(){};=:\"']|\w\s*:?=\s*[\[({\"'\d\w]|=>")
+_QUOTE_HINT = re.compile(r"[`\"“„«»「『‘‹']")
+_QUOTED = re.compile(r"`[^`]*`|\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|»[^«]*«|「[^」]*」|『[^』]*』|‘[^’]*’|‹[^›]*›|(?<!\w)'[^']*'(?!\w)")
+#: Words of no language: addresses, paths, identifiers, numbers, keys, file names.
+_NO_WORD = re.compile(r"://|\w@\w|\w[/\\]|[/\\]\w|[a-z0-9]\w*[A-Z]|[\d_#]|^[A-Za-z]+-\d+$|\w\.(?:tsx?|jsx?|py|md|json|ya?ml|toml|sql)\b")
+_LATIN = re.compile(r"[A-Za-z0-9_./\\#-]+")
 _EAST = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])\s*")
+_EAST_END = re.compile(r"[。！？]")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-
-
-def natural(line: str) -> str:
-    """What a line says in natural language, lower-cased; '' if it has none."""
-    if not line or _CODE_LINE.search(line):
-        return ""
-    rest = _DROP.sub(" ", line)
-    if len(_WORD.findall(rest)) < 2 and len(_EAST.findall(rest)) < 2:
-        return ""
-    return rest.lower()
-
-
-def lines_of(text: str) -> list[str]:
-    """The natural language of each line, '' for lines without any."""
+_LINE_END = re.compile(r"\r\n|\n|\r")
+
+_WORDS: dict[str, tuple[str, int, int]] = {}
+
+
+def _word(token: str) -> tuple[str, int, int]:
+    """(what a token adds to its sentence, words, characters of a script without spaces); a line break ends the sentence."""
+    got = _WORDS.get(token)
+    if got is None:
+        if len(_WORDS) > 100_000:
+            _WORDS.clear()
+        east = len(_EAST.findall(token))
+        if east:
+            parts = [_NOT_LETTERS.sub(" ", x).strip() for x in _EAST_END.split(_LATIN.sub(" ", token))]
+            got = ("\n".join(parts).lower(), 0, east)
+        elif _NO_WORD.search(token):
+            got = ("\n" if token[-1] in ".!?" else "", 0, 0)
+        else:
+            clean = _NOT_LETTERS.sub(" ", token).strip().lower()
+            got = (clean + "\n" if token[-1] in ".!?" else clean, sum(len(w) > 1 for w in clean.split()), 0)
+        _WORDS[token] = got
+    return got
+
+
+def natural(line: str) -> list[str]:
+    """The sentences of a line in natural language, lower-cased, without punctuation; none if it has no language."""
+    if _CODE_HINT.search(line) and (not line.strip() or _CODE_LINE.search(line)):
+        return []
+    if _QUOTE_HINT.search(line):
+        line = _QUOTED.sub(" ", line)
+    got = [_word(t) for t in line.split()]
+    if sum(w for _, w, _ in got) < 2 and sum(e for _, _, e in got) < 2:
+        return []
+    return [s for s in map(str.strip, " ".join([c for c, _, _ in got if c]).split("\n")) if s]
+
+
+def lines_of(text: str) -> list[list[str]]:
+    """The sentences of each line, none for lines without natural language."""
     out, fenced = [], False
-    for line in re.split(r"\r\n|\n|\r", unicodedata.normalize("NFC", text)):
+    for line in _LINE_END.split(text if text.isascii() else unicodedata.normalize("NFC", text)):
         if _FENCE.match(line):
             fenced = not fenced
-            out.append("")
+            out.append([])
         else:
-            out.append("" if fenced else natural(line))
+            out.append([] if fenced else natural(line))
     return out
 
 
-def sentences(line: str) -> list[str]:
-    return [s for s in (_NOT_LETTERS.sub(" ", x).strip() for x in _SENTENCE.split(line)) if s]
-
-
 class Automaton:
     """Suffix automaton of a text: accepts exactly the substrings of it."""
 
@@ -159,9 +180,8 @@ class Judge:
             got = self.seen[sentence] = tuple(m.phrases(sentence) for m in self.machines)
         return got
 
-    def line(self, text: str) -> tuple[int, list[int]] | None:
-        """(index of the language, phrases of all) of a line's natural language."""
-        parts = sentences(text)
+    def line(self, parts: list[str]) -> tuple[int, list[int]] | None:
+        """(index of the language, phrases of all) of a line's sentences."""
         if not parts or not self.codes:
             return None
         sums = [sum(x) for x in zip(*map(self.needs, parts), strict=True)]
@@ -170,8 +190,8 @@ class Judge:
     def segments(self, text: str) -> list[tuple[str, float, int]]:
         """(language, confidence, lines) of the longest runs of lines in one language."""
         out: list[list] = []
-        for raw in lines_of(text):
-            got = self.line(raw) if raw else None
+        for parts in lines_of(text):
+            got = self.line(parts)
             if got is None:
                 if out:
                     out[-1][2] += 1
@@ -212,7 +232,7 @@ def fit(sample: list[tuple[str, str]]) -> dict[str, str]:
     votes: dict[str, Counter] = defaultdict(Counter)
     for text, code in sample:
         for line in lines_of(text):
-            for s in sentences(line):
+            for s in line:
                 votes[s][code] += 1
     for _ in range(2):
         # few votes: each sentence is judged by automata that never saw it, so that no wrong label can vouch for itself
@@ -226,7 +246,7 @@ def fit(sample: list[tuple[str, str]]) -> dict[str, str]:
                 if n >= CLEAR_VOTES and n >= CLEAR_SHARE * labels.total():
                     kept[s] = Counter({top: n})
                     continue
-                got = other.line(s)
+                got = other.line([s])
                 if got is not None and other.codes[got[0]] in labels:
                     kept[s] = Counter({other.codes[got[0]]: labels[other.codes[got[0]]]})
         votes = kept
