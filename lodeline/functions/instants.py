@@ -35,14 +35,14 @@ ABBREVIATIONS = {
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([AaPp])\.?[Mm]\b\.?)?"
 _ZONE = r"(?: ?(Z|z|(?:UTC|GMT)?[+-]\d{2}(?::?\d{2})?|[A-Za-z][A-Za-z_]*(?:/[A-Za-z_+-]+\d*)*|\[[A-Za-z_/+-]+\d*\]))?"
-_WORD = r"([^\W\d_]{3,12})\.?"
+_WORD = r"(\p{L}{3,12})\.?"
 #: form -> (pattern, fields). Fields: y m d h mi s frac ampm zone order; order says how to read m and d.
 FORMS = {
     "iso": (rf"^(\d{{4}})([-/])(\d{{1,2}})\2(\d{{1,2}})(?:(?:[Tt]| +){_TIME}{_ZONE})?$", "$1|$3|$4|$5|$6|$7|$8|$9|$10|ymd"),
     "basic": (rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt](\d{{2}})(\d{{2}})(\d{{2}})(?:[.,](\d+))?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8|ymd"),
-    "daymonth": (rf"^(?:[^\W\d_]{{2,10}}\.?,? )?(\d{{1,2}})(?:\.|er|º)?(?:[ /-]|\. ?){_WORD}(?:[ /-])(\d{{4}}|\d{{2}})(?:,? {_TIME}{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8|$9|name"),
-    "monthday": (rf"^(?:[^\W\d_]{{2,10}}\.?,? )?{_WORD} (\d{{1,2}}),? (\d{{4}})(?:,? {_TIME}{_ZONE})?$", "$3|$1|$2|$4|$5|$6|$7|$8|$9|name"),
-    "ctime": (rf"^[^\W\d_]{{2,10}} {_WORD} +(\d{{1,2}}) {_TIME} (\d{{4}}){_ZONE}$", "$8|$1|$2|$3|$4|$5|$6|$7|$9|name"),
+    "daymonth": (rf"^(?:\p{{L}}{{2,10}}\.?,? )?(\d{{1,2}})(?:\.|er|º)?(?:[ /-]|\. ?){_WORD}(?:[ /-])(\d{{4}}|\d{{2}})(?:,? {_TIME}{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8|$9|name"),
+    "monthday": (rf"^(?:\p{{L}}{{2,10}}\.?,? )?{_WORD} (\d{{1,2}}),? (\d{{4}})(?:,? {_TIME}{_ZONE})?$", "$3|$1|$2|$4|$5|$6|$7|$8|$9|name"),
+    "ctime": (rf"^\p{{L}}{{2,10}} {_WORD} +(\d{{1,2}}) {_TIME} (\d{{4}}){_ZONE}$", "$8|$1|$2|$3|$4|$5|$6|$7|$9|name"),
     "dotted": (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?:,? {_TIME}{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8|$9|ymd"),
     "numeric": (rf"^(\d{{1,2}})([/-])(\d{{1,2}})\2(\d{{4}})(?:,? {_TIME}{_ZONE})?$", "$4|$1|$3|$5|$6|$7|$8|$9|$10|site"),
     "epoch": (r"^([+-]?\d{1,20})(?:\.(\d+))?(?: (Z|UTC|[+-]\d{2}:?\d{2}))?$", "$1||||||$2|||epoch"),
@@ -54,8 +54,8 @@ def fields_of(text: Column) -> Column:
     clean = F.btrim(text, F.lit(BLANK))
     out = None
     for pattern, layout in FORMS.values():
-        hit = clean.rlike("(?U)" + pattern)
-        value = F.regexp_replace(clean, F.lit("(?U)" + pattern), F.lit(layout))
+        hit = clean.rlike(pattern)
+        value = F.regexp_replace(clean, F.lit(pattern), F.lit(layout))
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
 
