@@ -51,6 +51,7 @@ _QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
 _XML = re.compile(r"([^<\n]*)</")
 _BARE = re.compile(r"[^\s\"'`<>,]+")
 _SCHEME = re.compile(r"(?:Basic|Bearer|token|Digest|ApiKey)\s+", re.I)
+_PARAMETER = re.compile(r"[?&][\w-]*$")
 _SPOKEN = re.compile(r"""\s+(?:(?:to|is|was|with|as|of)\s+)?(["'`]?)([^\s"'`]+)\1""")
 _FLAG_P = re.compile(r"""(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;&]*?\s-p(["']?)([^\s"']+)\1""")
 _SSHPASS = re.compile(r"""sshpass\s+-p\s*(["']?)([^\s"']+)\1""")
@@ -169,6 +170,8 @@ def _named(text: str, begin: int) -> Iterator[tuple[int, int]]:
         if not quoted:
             line = text[text.rfind("\n", 0, begin) + 1 : begin]
             end = _trim_bare(text, start, end, ";" in line or "=" in line)
+            if _PARAMETER.search(line) and (cut := re.compile("[&#]").search(text, start, end)):
+                end = cut.start()
         if _plausible(text[start:end], quoted):
             yield start, end
         return

@@ -30,7 +30,7 @@ def test_contexts():
         f"password: {pw}", f'db_password = "{pw}"', f"export SMTP_PASS={pw}", f"signingKey := '{pw}' // note", f"<apiKey>{pw}</apiKey>", f'{{"sessionPasswd": "{pw}", "n": 1}}',
         f"redis://svc_token:{pw}@db.example:1/x", f'conn = "Server=a;User Id=b;Pwd={pw};Encrypt=true"', f"Authorization: Bearer {pw}", f"sshpass -p {pw} ssh u@h", f"mysql -u root -p{pw} db",
         f"docker login -u ci --password {pw} reg", f"machine m login bot password {pw}", f"set smtp password to {pw} for staging", f"use api_key '{pw}' in X", f"fix login (pwd: {pw})",
-        f"    pass: \"{pw}\"", f"ENV TOKEN={pw} \\", f"-H \"PRIVATE-TOKEN: {pw}\"", f"req.setHeader('X-Api-Key', '{pw}');", f"PGPASSWORD={pw} psql -h x",
+        f"    pass: \"{pw}\"", f"ENV TOKEN={pw} \\", f"-H \"PRIVATE-TOKEN: {pw}\"", f"req.setHeader('X-Api-Key', '{pw}');", f"PGPASSWORD={pw} psql -h x", f"https://x.example/y?access_token={pw}&n=1",
     ):
         assert scan_text(text)[0] == [pw], text
         assert pw not in scan_text(text)[1]
