@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lodeline.llm import tokens as T
 from lodeline.llm.parsing import spread
+from lodeline.session import cut
 
 DIMENSIONS, BITS = 3, 10
 #: Neighbours that are placed together, longest first, and containers kept open from one window to the next.
@@ -61,27 +62,32 @@ def hilbert_key(point: list[int], bits: int = BITS) -> int:
     return key
 
 
-class Projector:
-    """Hashed words projected to a few dimensions. Both steps are linear, so each word's share is computed once."""
+class Projector(dict):
+    """Hashed words projected to a few dimensions. Both steps are linear, so each word's share is computed once: the
+    mapping gives a word's row in a table of shares, and a document is the sum of its words' rows."""
 
     def __init__(self, dimensions: int = DIMENSIONS):
+        super().__init__()
         self.dimensions = dimensions
-        self.shares: dict[str, np.ndarray] = {}
+        self.shares = np.empty((1024, dimensions))
 
-    def _share(self, word: str) -> np.ndarray:
-        got = self.shares.get(word)
-        if got is None:
-            if len(self.shares) > 200_000:
-                self.shares.clear()
-            seed = zlib.crc32(word.encode("utf-8", "replace")) & 0xFFFF  # the hashed dimension: one of 65,536
-            got = self.shares[word] = np.random.default_rng(seed).standard_normal(self.dimensions)
-        return got
+    def __missing__(self, word: str) -> int:
+        row = len(self)
+        if row == len(self.shares):
+            self.shares = np.concatenate([self.shares, np.empty_like(self.shares)])
+        seed = zlib.crc32(word.encode("utf-8", "replace")) & 0xFFFF  # the hashed dimension: one of 65,536
+        self.shares[row] = np.random.default_rng(seed).standard_normal(self.dimensions)
+        self[word] = row
+        return row
 
     def key(self, text: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
         words = _WORDS.findall(text.lower())
         if not words:
             return 0
-        v = np.sum([self._share(w) for w in words], axis=0) / len(words) ** 0.5
+        rows = [self[w] for w in words]
+        v = self.shares[rows].sum(axis=0) / len(words) ** 0.5
         unit = 0.5 * (1 + np.tanh(v / 2))
         return hilbert_key([int(u) for u in np.minimum(unit * (1 << BITS), (1 << BITS) - 1)])
 
@@ -181,6 +187,7 @@ def pack_documents(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     if any(room <= 0 for room in rooms.values()):
         raise ValueError("a container without room")
     kinds = F.explode(F.array(*[F.lit(n) for n in sorted(rooms)])) if rooms else F.explode(F.array().cast("array<string>"))
+    sizes = cut(sizes.select("doc_id", "tokens", "curve"))  # range bounds take a pass of their own; texts are measured once
     items = sizes.select(kinds.alias("container_name"), "doc_id", "tokens", "curve")
     # the folded key gives each kind and curve range its place, so that no kind waits for another
     ranged = items.repartitionByRange("container_name", "curve", "doc_id").sortWithinPartitions("container_name", "curve", "doc_id")
