@@ -40,15 +40,24 @@ def within_budget(rows: DataFrame, keys: list[str], order: list[Column], cost: s
     return rows.withColumn("upto", upto).withColumn("nth", F.row_number().over(w)).where((F.col("upto") <= budget) | (F.col("nth") == 1))
 
 
-def admit(rows: DataFrame, keys: list[str], order: str, cost: str, budget: int, most: int = 500) -> DataFrame:
-    """Greedy admission in order that passes over what does not fit and goes on: a fold over at most ``most`` rows a key."""
-    w = W.partitionBy(*keys).orderBy(order)
-    first = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
-    lists = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("nth", F.col(cost).cast("long").alias("cost"), F.col(order).alias("item")))).alias("items"))
+def admit(rows: DataFrame, keys: list[str], order: str, cost: str, budget: int) -> DataFrame:
+    """Greedy admission in order that passes over what does not fit and goes on, over all rows of each key.
+
+    Room only shrinks, so of equal costs c the first so many in order are admitted and none behind them, at most
+    budget/c. All that can be admitted is therefore among the first budget/c rows of each cost: about budget * ln(budget)
+    rows a key, whatever its size, and only they are folded. Rows that cost nothing always fit. Null costs never do;
+    negative ones are an error.
+    """
+    price = F.col(cost).cast("long")
+    priced = rows.select(*keys, order, F.when(price < 0, F.raise_error(F.lit("negative cost"))).otherwise(price).alias("cost")).where(F.col("cost") <= budget)
+    free = priced.where(F.col("cost") == 0).select(*keys, F.col(order).cast("long").alias(order))
+    nth = F.row_number().over(W.partitionBy(*keys, "cost").orderBy(order))
+    able = priced.where(F.col("cost") > 0).withColumn("nth", nth).where(F.col("nth") * F.col("cost") <= budget)
+    lists = able.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("item"), "cost"))).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept"))
 
     def step(acc, x):
         fits = acc["used"] + x["cost"] <= budget
         return F.struct(F.when(fits, acc["used"] + x["cost"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["item"].cast("long")))).otherwise(acc["kept"]).alias("kept"))
 
-    return lists.select(*keys, F.explode(F.aggregate("items", start, step)["kept"]).alias(order))
+    return free.unionByName(lists.select(*keys, F.explode(F.aggregate("items", start, step)["kept"]).alias(order)))

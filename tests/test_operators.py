@@ -86,6 +86,20 @@ def test_greedy_admission_passes_over(spark):
     assert sorted(r["item"] for r in M.admit(rows, ["k"], "item", "cost", 10).collect()) == [1, 3, 4]
 
 
+def test_greedy_admission_goes_on_to_the_last_row(spark):
+    rnd = random.Random(5)
+    data = [(k, i, rnd.choice([None, 0, *range(1, 60), 900])) for k in "ab" for i in range(1500)]
+    data += [("c", i, 300) for i in range(700)] + [("c", 700, 100), ("c", 701, 0), ("c", 702, 1)]
+    want, used = [], {}
+    for k, i, cost in data:
+        if cost is not None and used.get(k, 0) + cost <= 1000:
+            want.append((k, i))
+            used[k] = used.get(k, 0) + cost
+    rnd.shuffle(data)
+    got = M.admit(spark.createDataFrame(data, "k string, item long, cost long"), ["k"], "item", "cost", 1000).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and ("c", 700) in want
+
+
 def test_query_lines():
     q = S.parse('Alpha "two words" -gone or')
     assert (q.words, q.phrases, q.excluded, q.any_of) == (("alpha",), (("two", "words"),), ("gone",), True)
