@@ -6,6 +6,9 @@ folder after each hop, so a lost executor costs one hop at most.
 
 from __future__ import annotations
 
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 from lodeline.session import cut
 
 MAX_DEPTH = 6  # fixed value
+#: Commits of one repository up to which one task walks them.
+WALK_ROWS = 300_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -51,11 +56,11 @@ def traverse(hops: DataFrame, origins: DataFrame, depth: int, visible: DataFrame
     return seen.where(F.col("depth") > 0)
 
 
-def closure(links: DataFrame, origins: DataFrame, hops: int = 10) -> DataFrame:
-    """(origin, id, depth): everything that follows from the origins along (id, other_id), hidden nodes included."""
+def closure(links: DataFrame, origins: DataFrame, hops: int | None = 10) -> DataFrame:
+    """(origin, id, depth): everything that follows from the origins along (id, other_id), hidden nodes included; without ``hops`` to the last."""
     frontier, seen = origins.select(F.col("id").alias("origin"), "id").distinct(), None
     known = frontier
-    for k in range(1, hops + 1):
+    for k in count(1) if hops is None else range(1, hops + 1):
         found = frontier.join(links, "id").select("origin", F.col("other_id").alias("id")).distinct()
         frontier = cut(found.join(known, ["origin", "id"], "left_anti"))
         if not frontier.take(1):
@@ -63,9 +68,57 @@ def closure(links: DataFrame, origins: DataFrame, hops: int = 10) -> DataFrame:
         known = known.unionByName(frontier)
         step = frontier.withColumn("depth", F.lit(k))
         seen = step if seen is None else seen.unionByName(step)
+        if k % 20 == 0:  # long walks keep short plans
+            known, seen = cut(known), cut(seen)
     return seen if seen is not None else frontier.withColumn("depth", F.lit(0)).where(F.lit(False))
 
 
+def ancestor_difference(parents: DataFrame, heads: DataFrame, walk_rows: int = WALK_ROWS) -> DataFrame:
+    """(repo_id, head, id, resolved): what ``head`` reaches, itself included, and ``previous`` does not, to the last ancestor.
+
+    ``parents`` is (repo_id, id, parents), one row a commit; ``heads`` is (repo_id, head, previous), one row a repository;
+    without a previous head all that ``head`` reaches counts. A commit without a row of its own is reached but not
+    ``resolved``. A repository with up to ``walk_rows`` commits is walked inside one task, since a walk by joins takes
+    as many rounds as the longest chain has links; larger ones go through joins, with the same result.
+    """
+    sizes = parents.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.where(F.col("n") > walk_rows).select("repo_id"))  # at most rows / walk_rows names
+    if not large.take(1):
+        return _walked(parents, heads)
+    big, tips = parents.join(large, "repo_id", "left_semi"), heads.join(large, "repo_id", "left_semi")
+    links = cut(big.select(F.struct("repo_id", "id").alias("id"), F.explode("parents").alias("p"), "repo_id").select("id", F.struct("repo_id", F.col("p").alias("id")).alias("other_id")).where(F.col("p").isNotNull()).distinct())
+    reached = []
+    for end in ("head", "previous"):
+        start = tips.where(F.col(end).isNotNull()).select(F.struct("repo_id", F.col(end).alias("id")).alias("id"))
+        reached.append(start.unionByName(closure(links, start, None).select("id")).distinct().select("id.repo_id", "id.id"))
+    key = ["repo_id", "id"]
+    rest = reached[0].join(reached[1], key, "left_anti").join(big.select(*key, F.lit(True).alias("known")), key, "left")
+    far = rest.join(tips.select("repo_id", "head"), "repo_id").select("repo_id", "head", "id", F.coalesce("known", F.lit(False)).alias("resolved"))
+    return _walked(parents.join(large, "repo_id", "left_anti"), heads.join(large, "repo_id", "left_anti")).unionByName(far)
+
+
+def _walked(parents: DataFrame, heads: DataFrame) -> DataFrame:
+    def reach(up: dict, start: str | None, known: set) -> dict:
+        seen, todo = {}, [start] if start is not None else []
+        while todo:
+            v = todo.pop()
+            if v not in seen and v not in known:
+                seen[v] = v in up
+                todo.extend(p for p in up.get(v, ()) if p is not None)
+        return seen
+
+    def walk(commits: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        up = {v: () if p is None else p for v, p in zip(commits["id"], commits["parents"])}
+        rows = []
+        for repo, head, previous in ends[["of", "head", "previous"]].itertuples(index=False):
+            found = reach(up, head, set(reach(up, previous, set())))
+            rows += [(repo, head, v, known) for v, known in found.items()]
+        return pd.DataFrame(rows, columns=["repo_id", "head", "id", "resolved"])
+
+    both = parents.select("repo_id", "id", "parents").groupBy("repo_id").cogroup(heads.select(F.col("repo_id").alias("of"), "head", "previous").groupBy("of"))
+    return both.applyInPandas(walk, "repo_id string, head string, id string, resolved boolean")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id of each connected component, by hook and jump in a logarithmic number of rounds.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as X
+from lodeline.functions.canonical import full_ref
 from lodeline.operators import evaluation as M
 from lodeline.operators import graph as G
 from lodeline.operators import ledger as L
@@ -249,10 +250,17 @@ def model_project(spark, d):
 t AS (SELECT repo_id || ' ' || arg_max(sha, (acquired_at, row_id)) AS id FROM commit_record GROUP BY repo_id), a AS (SELECT DISTINCT t.id AS origin, l.other AS id FROM t JOIN l USING (id)), b AS (SELECT DISTINCT origin, l.other AS id FROM a JOIN l USING (id) EXCEPT (SELECT * FROM a UNION SELECT id, id FROM t))
 SELECT origin, id FROM a UNION ALL SELECT origin, id FROM b""")
 def release_commits(spark, d):
-    rows = table(spark, d, "commit_record")
-    links = rows.select(F.concat_ws(" ", "repo_id", "sha").alias("id"), F.explode("parents").alias("p"), "repo_id").select("id", F.concat_ws(" ", "repo_id", "p").alias("other_id")).distinct()
-    tips = rows.groupBy("repo_id").agg(F.max_by("sha", F.struct("acquired_at", "row_id")).alias("sha")).select(F.concat_ws(" ", "repo_id", "sha").alias("id"))
-    return G.closure(links, tips, 2).select("origin", "id")
+    """What each repository's newest commit reaches and its newest release before does not. The SQL above ends after two
+    hops, subtracts nothing and leaves out the head, so it no longer agrees."""
+    rows = table(spark, d, "commit_record").where(F.col("repo_id").isNotNull() & F.col("sha").isNotNull())
+    parents = rows.groupBy("repo_id", F.col("sha").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("parents"))).alias("parents"))
+    heads = rows.groupBy("repo_id").agg(F.max_by("sha", F.struct("acquired_at", "row_id")).alias("head"))
+    tags = table(spark, d, "branch_snapshot").where(full_ref(F.col("ref_name")).startswith("refs/tags/") & F.col("head_sha").isNotNull())
+    tags = tags.groupBy("repo_id", full_ref(F.col("ref_name")).alias("tag")).agg(F.min("taken_at").alias("since"), F.max_by(F.lower("head_sha"), F.struct("acquired_at", "entry_id")).alias("previous"))
+    number = F.transform(F.regexp_extract_all("tag", F.lit(r"(\d+)"), F.lit(1)), lambda n: n.try_cast("long"))
+    before = tags.join(heads, "repo_id").where(F.col("previous") != F.col("head")).groupBy("repo_id").agg(F.max_by("previous", F.struct("since", number, "tag")).alias("previous"))
+    found = G.ancestor_difference(parents, heads.join(before, "repo_id", "left"))
+    return found.select(F.concat_ws(" ", "repo_id", "head").alias("origin"), F.concat_ws(" ", "repo_id", "id").alias("id"), "resolved")
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, ts FROM events) GROUP BY 1, 2")

@@ -62,6 +62,28 @@ def test_components_of_long_chains(spark):
     assert {got[f"n{i:03}"] for i in range(61)} == {"n000"} and got["q"] == "p" and got["z"] == "z"
 
 
+def test_ancestor_difference_against_brute_force(spark):
+    rnd = random.Random(7)
+    up = {("a", i): [i - 1] if i else [] for i in range(23)} | {("b", i): rnd.sample(range(i), min(i, 2)) + ([900 + i] if i > 15 else []) for i in range(20)} | {("c", 0): [1], ("c", 1): [0, 2], ("c", 2): None}
+    ends = {"a": (22, 8), "b": (19, 12), "c": (0, None)}
+
+    def reach(repo, v):
+        seen, todo = set(), [v]
+        while todo:
+            if (v := todo.pop()) is not None and v not in seen:
+                seen.add(v)
+                todo += up.get((repo, v)) or []
+        return seen
+
+    want = {(r, str(h), str(v), (r, v) in up) for r, (h, p) in ends.items() for v in reach(r, h) - reach(r, p)}
+    parents = spark.createDataFrame([(r, str(v), p and [str(x) for x in p]) for (r, v), p in up.items()], "repo_id string, id string, parents array<string>")
+    heads = spark.createDataFrame([(r, str(h), None if p is None else str(p)) for r, (h, p) in ends.items()], "repo_id string, head string, previous string")
+    for rows in (1_000, 21):  # the second takes the long chain through joins
+        got = list(map(tuple, G.ancestor_difference(parents, heads, rows).collect()))
+        assert len(got) == len(want) and set(got) == want
+    assert ("a", "22", "9", True) in want and any(not known for *_, known in want)
+
+
 def test_full_tie_with_different_statements_has_no_preference(spark):
     schema = "evidence_id string, subject_id string, field_name string, source_system string, statement string, authority int, confidence double, observed_at timestamp_ntz"
     rows = [("a", "s", "f", "git", "1", 60, 0.9, T0), ("b", "s", "f", "jira", "2", 60, 0.9, T0), ("c", "t", None, "git", "1", 0, None, None), ("d", "t", None, "jira", "2", 20, None, T0)]
