@@ -61,9 +61,11 @@ def _nearest_block(vectors: DataFrame, rows: list, k: int) -> DataFrame:
             good = np.isfinite(norm) & (norm > 0)
             m, vid = m[good] / norm[good, None], pdf["vec_id"].to_numpy()[good]
             for i, sims in enumerate(q @ m.T):
-                keep = np.argpartition(-sims, min(k, len(sims) - 1))[: k + 1] if len(sims) > k else range(len(sims))
-                for j in keep:
-                    item = (float(sims[j]), -int(vid[j]))
+                # all that may belong to the k best, ties included; their sums do not depend on the place in the batch, so copies score the same
+                near = np.flatnonzero(sims >= np.partition(sims, len(sims) - k)[len(sims) - k] - 1e-9) if len(sims) > k else np.arange(len(sims))
+                exact = (m[near] * q[i]).sum(axis=1)
+                for j in np.lexsort((vid[near], -exact))[:k]:
+                    item = (float(exact[j]), -int(vid[near[j]]))
                     if len(heaps[i]) < k:
                         heapq.heappush(heaps[i], item)
                     elif item > heaps[i][0]:

@@ -151,6 +151,14 @@ def test_text_functions(spark):
     assert one(spark, "u+tag@Mail.example", X.normalise_address) == "u@mail.example"
 
 
+def test_nearest_takes_the_lowest_ids_of_equal_scores(spark):
+    vecs = [(i, [1.0, 2.0, 3.0] if i % 3 == 2 else [float(i % 7) - 9, 1.0, 0.5]) for i in range(3000)]
+    random.Random(4).shuffle(vecs)
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>").coalesce(1)
+    got = D.nearest(df, df.where("vec_id = 1502"), 5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [2, 5, 8, 11, 14]
+
+
 def test_nearest_and_near_duplicates_against_brute_force(spark):
     rnd = random.Random(3)
     vecs = [(i, [rnd.random() for _ in range(8)]) for i in range(60)] + [(60, None), (61, [0.0] * 8), (62, [1.0] * 3)]
