@@ -23,19 +23,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_B
     Queries come a block at a time; each partition hands on its k best for each query, and those meet in one shuffle.
     Vectors that are null, of another length, without length or not finite are not compared.
     """
-    ids = queries.select("vec_id").orderBy("vec_id")
+    ids = queries.select("vec_id").where(F.col("vec_id").isNotNull()).orderBy("vec_id")
     out = None
     last = None
     while True:
         page = ids if last is None else ids.where(F.col("vec_id") > last)
         rows = queries.join(page.limit(block), "vec_id", "left_semi").select("vec_id", "embedding").collect()
-        rows = [r for r in rows if r["embedding"] and np.all(np.isfinite(r["embedding"])) and np.any(r["embedding"])]
         if not rows:
             break
-        last = max(r["vec_id"] for r in rows)
-        part = _nearest_block(vectors, rows, k)
-        out = part if out is None else out.unionByName(part)
-        if len(rows) < block:
+        last, full = max(r["vec_id"] for r in rows), len(rows) >= block  # of the page as read, usable or not
+        rows = [r for r in rows if r["embedding"] and np.all(np.isfinite(r["embedding"])) and np.any(r["embedding"])]
+        if rows:
+            part = _nearest_block(vectors, rows, k)
+            out = part if out is None else out.unionByName(part)
+        if not full:
             break
     if out is None:
         return vectors.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))

@@ -159,6 +159,13 @@ def test_nearest_takes_the_lowest_ids_of_equal_scores(spark):
     assert [r["vec_id"] for r in got] == [2, 5, 8, 11, 14]
 
 
+def test_nearest_pages_behind_unusable_queries(spark):
+    vecs = [(i, [0.0, 0.0] if i in (1, 2, 3) else [float(i + 1), 1.0]) for i in range(8)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    got = D.nearest(df, df, 1, block=2).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in got) == [(i, i) for i in (0, 4, 5, 6, 7)]
+
+
 def test_nearest_and_near_duplicates_against_brute_force(spark):
     rnd = random.Random(3)
     vecs = [(i, [rnd.random() for _ in range(8)]) for i in range(60)] + [(60, None), (61, [0.0] * 8), (62, [1.0] * 3)]
