@@ -29,13 +29,12 @@ def query(sql: str | None = None):
 
 
 @query("""WITH c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events), t AS (SELECT user_id, event_id AS origin FROM c WHERE k = 1)
-SELECT origin, event_id AS id, (k - 1)::INT AS depth FROM c JOIN t USING (user_id) WHERE k BETWEEN 2 AND 6""")
+SELECT origin, event_id AS id, (k - 1)::INT AS depth FROM c JOIN t USING (user_id) WHERE k BETWEEN 2 AND 11""")
 def session_lineage(spark, d):
     rows = table(spark, d, "events")
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     links = rows.select(F.col("event_id").alias("id"), F.lag("event_id").over(w).alias("other_id")).where(F.col("other_id").isNotNull())
     tips = newest(rows, ["user_id"], [F.col("ts"), F.col("event_id")], ["event_id"]).select(F.col("event_id").alias("id"))
-    # the SQL above ends after 5 hops and agrees up to there
     return G.closure(links, tips).select("origin", "id", F.col("depth").cast("int").alias("depth"))
 
 

@@ -199,27 +199,31 @@ def traverse(spark, d):
 
 
 _SITE_LINKS = "l AS (SELECT DISTINCT repo_id || ' ' || sha AS id, repo_id || ' ' || unnest(parents) AS other FROM commit_record)"
+_HOPS = "w AS (SELECT id AS origin, id, 0 AS depth FROM o UNION SELECT w.origin, {to}, w.depth + 1 FROM w JOIN l ON {at} = w.id WHERE w.depth < 10) SELECT origin, id, min(depth)::INT AS depth FROM w WHERE id <> origin GROUP BY 1, 2"
 
 
-@query(f"""WITH {_SITE_LINKS}, tips AS (SELECT repo_id || ' ' || max(sha) AS id FROM commit_record GROUP BY repo_id),
-h1 AS (SELECT DISTINCT t.id AS origin, l.other AS id FROM tips t JOIN l USING (id)), h2 AS (SELECT DISTINCT origin, l.other AS id FROM h1 JOIN l USING (id) EXCEPT (SELECT * FROM h1 UNION SELECT id, id FROM tips)),
-h3 AS (SELECT DISTINCT origin, l.other AS id FROM h2 JOIN l USING (id) EXCEPT (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT id, id FROM tips))
-SELECT origin, id, 1 AS depth FROM h1 UNION ALL SELECT origin, id, 2 FROM h2 UNION ALL SELECT origin, id, 3 FROM h3""")
-def provenance(spark, d):
+def _commit_links(spark, d):
     rows = table(spark, d, "commit_record")
-    links = rows.select(F.concat_ws(" ", "repo_id", "sha").alias("id"), F.explode("parents").alias("p"), "repo_id").select("id", F.concat_ws(" ", "repo_id", "p").alias("other_id")).distinct()
-    tips = rows.groupBy("repo_id").agg(F.max("sha").alias("sha")).select(F.concat_ws(" ", "repo_id", "sha").alias("id"))
-    return G.closure(links, tips)  # the SQL above ends after 3 hops and agrees up to there
+    links = rows.select("repo_id", "sha", F.explode("parents").alias("p"))
+    return links.select(F.concat_ws(" ", "repo_id", "sha").alias("id"), F.concat_ws(" ", "repo_id", "p").alias("other_id")).distinct()
 
 
-@query(f"""WITH {_SITE_LINKS}, o AS (SELECT repo_id || ' ' || min(sha) AS id FROM commit_record GROUP BY repo_id),
-h1 AS (SELECT DISTINCT o.id AS origin, l.id FROM o JOIN l ON l.other = o.id WHERE l.id <> o.id), h2 AS (SELECT DISTINCT origin, l.id FROM h1 JOIN l ON l.other = h1.id EXCEPT (SELECT * FROM h1 UNION SELECT id, id FROM o))
-SELECT origin, id, 1 AS depth FROM h1 UNION ALL SELECT origin, id, 2 FROM h2""")
+def _commit_ends(spark, d, pick):
+    ends = table(spark, d, "commit_record").groupBy("repo_id").agg(pick("sha").alias("sha"))
+    return ends.select(F.concat_ws(" ", "repo_id", "sha").alias("id"))
+
+
+@query(f"WITH RECURSIVE {_SITE_LINKS}, o AS (SELECT repo_id || ' ' || max(sha) AS id FROM commit_record GROUP BY repo_id), {_HOPS.format(to='l.other', at='l.id')}")
+def provenance(spark, d):
+    """Everything the last commit of each repository derives from, within ten hops."""
+    return G.closure(_commit_links(spark, d), _commit_ends(spark, d, F.max))
+
+
+@query(f"WITH RECURSIVE {_SITE_LINKS}, o AS (SELECT repo_id || ' ' || min(sha) AS id FROM commit_record GROUP BY repo_id), {_HOPS.format(to='l.id', at='l.other')}")
 def dependents(spark, d):
-    rows = table(spark, d, "commit_record")
-    links = rows.select(F.concat_ws(" ", "repo_id", "sha").alias("other_id"), F.explode("parents").alias("p"), "repo_id").select(F.concat_ws(" ", "repo_id", "p").alias("id"), "other_id").distinct()
-    first = rows.groupBy("repo_id").agg(F.min("sha").alias("sha")).select(F.concat_ws(" ", "repo_id", "sha").alias("id"))
-    return G.closure(links, first)  # the SQL above ends after 2 hops and agrees up to there
+    """Everything that derives from the first commit of each repository, within ten hops."""
+    links = _commit_links(spark, d).select(F.col("other_id").alias("id"), F.col("id").alias("other_id"))
+    return G.closure(links, _commit_ends(spark, d, F.min))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT author_email AS a, repo_id AS b FROM commit_record WHERE author_email IS NOT NULL), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),

@@ -246,12 +246,20 @@ def model_project(spark, d):
     return parts.groupBy("id", "kind").agg(F.bool_or("known").alias("known"), F.count(F.lit(1)).alias("mentions"))
 
 
-@query("""WITH l AS (SELECT DISTINCT repo_id || ' ' || sha AS id, repo_id || ' ' || unnest(parents) AS other FROM commit_record), h AS (SELECT repo_id || ' ' || max(head_sha) AS id FROM branch_snapshot WHERE head_sha IS NOT NULL GROUP BY repo_id),
-t AS (SELECT repo_id || ' ' || arg_max(sha, (acquired_at, row_id)) AS id FROM commit_record GROUP BY repo_id), a AS (SELECT DISTINCT t.id AS origin, l.other AS id FROM t JOIN l USING (id)), b AS (SELECT DISTINCT origin, l.other AS id FROM a JOIN l USING (id) EXCEPT (SELECT * FROM a UNION SELECT id, id FROM t))
-SELECT origin, id FROM a UNION ALL SELECT origin, id FROM b""")
+_RELEASE_SQL = """WITH RECURSIVE l AS (SELECT DISTINCT repo_id, sha AS id, unnest(parents) AS other FROM commit_record),
+h AS (SELECT repo_id, arg_max(sha, (acquired_at, row_id)) AS head FROM commit_record GROUP BY 1),
+b AS (SELECT *, CASE WHEN ref_name LIKE 'refs/%' THEN ref_name ELSE 'refs/heads/' || ref_name END AS tag FROM branch_snapshot WHERE head_sha IS NOT NULL),
+t AS (SELECT repo_id, tag, min(taken_at) AS since, arg_max(lower(head_sha), (acquired_at, entry_id)) AS previous FROM b WHERE tag LIKE 'refs/tags/%' GROUP BY 1, 2),
+p AS (SELECT t.repo_id, t.previous FROM t JOIN h USING (repo_id) WHERE previous <> head
+ QUALIFY row_number() OVER (PARTITION BY t.repo_id ORDER BY since DESC, list_transform(regexp_extract_all(tag, '\\d+'), lambda n: TRY_CAST(n AS BIGINT)) DESC, tag DESC) = 1),
+w AS (SELECT repo_id, 'h' AS side, head AS id FROM h UNION SELECT repo_id, 'p', previous FROM p UNION SELECT w.repo_id, w.side, l.other FROM w JOIN l ON l.repo_id = w.repo_id AND l.id = w.id)
+SELECT w.repo_id || ' ' || h.head AS origin, w.repo_id || ' ' || w.id AS id, EXISTS (SELECT 1 FROM commit_record c WHERE c.repo_id = w.repo_id AND c.sha = w.id) AS resolved
+FROM w JOIN h USING (repo_id) WHERE side = 'h' AND NOT EXISTS (SELECT 1 FROM w x WHERE x.side = 'p' AND x.repo_id = w.repo_id AND x.id = w.id)"""
+
+
+@query(_RELEASE_SQL)
 def release_commits(spark, d):
-    """What each repository's newest commit reaches and its newest release before does not. The SQL above ends after two
-    hops, subtracts nothing and leaves out the head, so it no longer agrees."""
+    """What each repository's newest commit reaches and its newest release before does not."""
     rows = table(spark, d, "commit_record").where(F.col("repo_id").isNotNull() & F.col("sha").isNotNull())
     parents = rows.groupBy("repo_id", F.col("sha").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("parents"))).alias("parents"))
     heads = rows.groupBy("repo_id").agg(F.max_by("sha", F.struct("acquired_at", "row_id")).alias("head"))
