@@ -6,13 +6,16 @@ cycle. Peeling runs inside one task for a tree set of bounded size (one reposito
 larger sets go through pointer doubling over the whole cluster, with the same result in about log2(depth) rounds,
 since peeling one level a round would need as many rounds as the longest chain has links.
 
-A node's path and all its descendants are answered from the preorder: ``u`` is below ``v`` exactly if they share a
-root and ``pre(v) < pre(u) < pre(v) + size(v)``. Written out, the lists of a chain of n nodes would hold n*n/2 entries.
+The preorder visits the largest subtree first, so the links to largest children form runs of neighbours (heavy paths).
+All descendants of a node are one range of places, and its path is at most log2(n) ranges, one for each heavy path on
+the way to the root. ``ancestors`` and ``descendants`` write lists out for the nodes asked for: ranges are cut into
+blocks of ``BLOCK`` places and meet the nodes by (root, block), so a giant tree spreads over as many keys as it has
+blocks. For all nodes of a chain the lists would hold n*n/2 entries.
 
 Defined cases: rows with a null repository or node are left out; of several rows for a node the latest counts; a
 parent without a row of its own in the same repository, or a null one, makes the node a root; a node that is its own
 parent is a cycle; nodes on a cycle have root '' and depth -1, nodes leading to one root '' and depth -2, and both have
-null ``pre`` and ``size``; empty tables give an empty result; further columns are ignored.
+null ``pre``, ``size``, ``head`` and ``up``; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from lodeline.session import cut
 
 #: Nodes of one repository up to which one task peels them (about 150 bytes each in Python).
 PEEL_ROWS = 300_000
-SCHEMA = "repo_id string, sha string, parent string, root_sha string, depth long, pre long, size long"
+#: Places of a preorder that lists are joined by.
+BLOCK = 4_096
+SCHEMA = "repo_id string, sha string, parent string, root_sha string, depth long, pre long, size long, head long, up long"
 
 
 def links(commits: DataFrame) -> DataFrame:
@@ -38,10 +43,11 @@ def links(commits: DataFrame) -> DataFrame:
     return rows.groupBy("repo_id", "sha").agg(last.alias("row")).select("repo_id", "sha", F.col("row.parent").alias("parent"))
 
 
-def peel(up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(root, depth, pre, size) of nodes 0..n-1 with parents ``up`` (-1: none), by leaf peeling.
+def peel(up: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(root, depth, pre, size, head, above) of nodes 0..n-1 with parents ``up`` (-1: none), by leaf peeling.
 
-    Nodes on a cycle get depth -1, nodes leading to one -2; both root -1, pre -1 and size -1.
+    ``head`` is the place of the first node of a node's heavy path, ``above`` the place of that node's parent (-1: none).
+    Nodes on a cycle get depth -1, nodes leading to one -2; all else of both is -1.
     """
     n = len(up)
     parents = up.tolist()
@@ -55,22 +61,28 @@ def peel(up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
             waiting[p] -= 1
             if not waiting[p]:
                 order.append(p)
-    root, depth, pre = [-1] * n, [-1] * n, [-1] * n  # what is never peeled lies on a cycle
-    free = [0] * n
+    # the place of a child behind its parent: what its elder siblings take, the largest first
+    sizes = np.array(size, dtype=np.int64)
+    rank = np.lexsort((np.arange(n), -sizes, up))
+    front = np.cumsum(sizes[rank]) - sizes[rank]
+    first = np.ones(n, dtype=bool)
+    first[1:] = up[rank][1:] != up[rank][:-1]
+    base = np.maximum.accumulate(np.where(first, front, 0)) if n else front
+    step, eldest = np.empty(n, dtype=np.int64), np.empty(n, dtype=bool)
+    step[rank], eldest[rank] = front - base + 1, first
+    step, eldest = step.tolist(), eldest.tolist()
+    root, depth, pre, head, above = ([-1] * n for _ in range(5))  # what is never peeled lies on a cycle
     for v in reversed(order):
         p = parents[v]
         if p < 0:
-            root[v], depth[v], pre[v], free[v] = v, 0, 0, 1
+            root[v], depth[v], pre[v], head[v] = v, 0, 0, 0
         elif root[p] < 0:
-            depth[v], size[v] = -2, -1
+            depth[v] = -2
         else:
-            root[v], depth[v], pre[v] = root[p], depth[p] + 1, free[p]
-            free[p] += size[v]
-            free[v] = pre[v] + 1
-    for v in range(n):
-        if root[v] < 0:
-            size[v] = -1
-    return np.array(root), np.array(depth), np.array(pre), np.array(size)
+            root[v], depth[v], pre[v] = root[p], depth[p] + 1, pre[p] + step[v]
+            head[v], above[v] = (head[p], above[p]) if eldest[v] else (pre[v], pre[p])
+    size = np.where(np.array(root, dtype=np.int64) < 0, -1, sizes)
+    return np.array(root), np.array(depth), np.array(pre), size, np.array(head), np.array(above)
 
 
 def _peel_repository(rows: pd.DataFrame) -> pd.DataFrame:
@@ -79,22 +91,50 @@ def _peel_repository(rows: pd.DataFrame) -> pd.DataFrame:
     index = pd.Index(rows["sha"])
     up = index.get_indexer(rows["parent"])
     up[rows["parent"].isna().to_numpy()] = -1
-    root, depth, pre, size = peel(up.astype(np.int64))
+    root, depth, pre, size, head, above = peel(up.astype(np.int64))
     shas = rows["sha"].to_numpy()
     rows["parent"] = np.where(up >= 0, rows["parent"].to_numpy(), None)
     rows["root_sha"] = np.where(root >= 0, shas[root], "")
     rows["depth"] = depth
-    rows["pre"] = pd.array(np.where(pre >= 0, pre, 0), dtype="Int64")
-    rows["size"] = pd.array(np.where(size >= 0, size, 0), dtype="Int64")
-    rows.loc[root < 0, ["pre", "size"]] = pd.NA
-    return rows[["repo_id", "sha", "parent", "root_sha", "depth", "pre", "size"]]
+    for name, values in (("pre", pre), ("size", size), ("head", head), ("up", above)):
+        rows[name] = pd.array(np.maximum(values, 0), dtype="Int64")
+        rows.loc[values < 0, name] = pd.NA
+    return rows[["repo_id", "sha", "parent", "root_sha", "depth", "pre", "size", "head", "up"]]
+
+
+def _jump(state: DataFrame, more: list[str], moved: dict) -> DataFrame:
+    """One round of pointer doubling. Only nodes that still point somewhere are joined; finished ones are carried along."""
+    open_, done = state.where(F.col("ptr").isNotNull()), state.where(F.col("ptr").isNull())
+    target = state.select("repo_id", F.col("sha").alias("ptr"), F.col("ptr").alias("ptr2"), *[F.col(c).alias(f"{c}2") for c in more])
+    joined = open_.join(target, ["repo_id", "ptr"], "left").withColumns(moved).withColumn("ptr", F.col("ptr2"))
+    return joined.select(state.columns).unionByName(done)
+
+
+def _sibling_steps(trees: DataFrame) -> DataFrame:
+    """(repo_id, sha, step, eldest): a child's place behind its parent, the largest subtree first, then by name.
+
+    Sums run over (size, first letters of the name) of each parent and then over those, so the children of one parent
+    are never in one task.
+    """
+    kids = trees.where(F.col("parent").isNotNull()).select("repo_id", "parent", "sha", "size", F.substring("sha", 1, 3).alias("part"))
+    parts = kids.groupBy("repo_id", "parent", "size", "part").agg(F.sum("size").alias("n"))
+    outer = W.partitionBy("repo_id", "parent").orderBy(F.col("size").desc(), "part")
+    before = F.coalesce(F.sum("n").over(outer.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("before", before).drop("n")
+    inner = W.partitionBy("repo_id", "parent", "size", "part").orderBy("sha").rowsBetween(W.unboundedPreceding, -1)
+    inside = kids.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    step = F.col("before") + F.col("inside") + 1
+    return inside.join(parts, ["repo_id", "parent", "size", "part"]).select("repo_id", "sha", step.alias("step"), (step == 1).alias("eldest"))
 
 
 def double(nodes: DataFrame) -> DataFrame:
     """The same columns by pointer doubling over joins; ``nodes`` is (repo_id, sha, parent)."""
     key = ["repo_id", "sha"]
-    own = nodes.select("repo_id", F.col("sha").alias("parent"), F.lit(True).alias("here"))
-    base = nodes.join(own, ["repo_id", "parent"], "left").select(*key, F.when(F.col("here"), F.col("parent")).alias("parent"))
+    named = nodes.where(F.col("parent").isNotNull())
+    own = nodes.select("repo_id", F.col("sha").alias("parent"))
+    known = named.join(own, ["repo_id", "parent"], "left_semi").select(*key, "parent")
+    roots = nodes.select(*key).join(known.select(*key), key, "left_anti").select(*key, F.lit(None).cast("string").alias("parent"))
+    base = known.unionByName(roots)
     state = cut(base.select(*key, "parent", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.lit(1).cast("long").alias("size")))
     n, step = state.count(), 1
     while step < 2 * n:
@@ -103,34 +143,37 @@ def double(nodes: DataFrame) -> DataFrame:
             break
         # sizes: everything less than 2*step below a node, from its own share and that of the nodes `step` below
         handed = open_.groupBy("repo_id", F.col("ptr").alias("sha")).agg(F.sum("size").alias("handed"))
-        target = state.select("repo_id", F.col("sha").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"))
-        state = cut(
-            state.join(handed, key, "left").join(target, ["repo_id", "ptr"], "left")
-            .select(*key, "parent", F.col("ptr2").alias("ptr"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), (F.col("size") + F.coalesce("handed", F.lit(0))).alias("size"))
-        )
+        grown = _jump(state, ["dist"], {"dist": F.col("dist") + F.coalesce("dist2", F.lit(0))})
+        state = cut(grown.join(handed, key, "left").withColumn("size", F.col("size") + F.coalesce("handed", F.lit(0))).drop("handed"))
         step *= 2
     # who still points somewhere after more steps than there are nodes points onto a cycle
     on_cycle = state.where(F.col("ptr").isNotNull()).select("repo_id", F.col("ptr").alias("sha")).distinct().withColumn("on_cycle", F.lit(True))
     depth = F.when(F.col("ptr").isNull(), F.col("dist")).when(F.col("on_cycle"), -1).otherwise(-2).cast("long")
     placed = cut(state.join(on_cycle, key, "left").select(*key, "parent", depth.alias("depth"), F.when(F.col("ptr").isNull(), F.col("size")).alias("size")))
-    # preorder: a node's place is the sum, along its path, of the sizes of the siblings in front and of the steps down
     trees = placed.where(F.col("depth") >= 0)
-    siblings = W.partitionBy("repo_id", "parent").orderBy(F.col("sha").desc())
-    front = F.sum("size").over(siblings.rowsBetween(W.unboundedPreceding, -1))
-    step_in = F.when(F.col("parent").isNull(), 0).otherwise(F.coalesce(front, F.lit(0)) + 1)
-    walk = cut(trees.select(*key, "parent", "depth", "size", F.col("parent").alias("ptr"), step_in.cast("long").alias("pre"), F.when(F.col("parent").isNull(), F.col("sha")).alias("root_sha")))
+    # preorder: a node's place is the sum of the steps on its path
+    steps = trees.join(_sibling_steps(trees), key, "left").withColumns({"step": F.coalesce("step", F.lit(0)), "eldest": F.coalesce("eldest", F.lit(False))})
+    walk = cut(steps.select(*key, "parent", "depth", "size", "eldest", F.col("parent").alias("ptr"), F.col("step").cast("long").alias("pre"), F.when(F.col("parent").isNull(), F.col("sha")).alias("root_sha")))
     while walk.where(F.col("ptr").isNotNull()).take(1):
-        target = walk.select("repo_id", F.col("sha").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("pre").alias("pre2"), F.col("root_sha").alias("root2"))
-        walk = cut(
-            walk.join(target, ["repo_id", "ptr"], "left")
-            .select(*key, "parent", "depth", "size", F.col("ptr2").alias("ptr"), (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre"), F.coalesce("root_sha", "root2").alias("root_sha"))
-        )
-    cyclic = placed.where(F.col("depth") < 0).select(*key, "parent", F.lit("").alias("root_sha"), "depth", F.lit(None).cast("long").alias("pre"), F.lit(None).cast("long").alias("size"))
-    return walk.select(cyclic.columns).unionByName(cyclic)
+        walk = cut(_jump(walk, ["pre", "root_sha"], {"pre": F.col("pre") + F.coalesce("pre2", F.lit(0)), "root_sha": F.coalesce("root_sha", "root_sha2")}))
+    # heavy paths: eldest children point up until they reach the first node of their path
+    start = F.when(~F.col("eldest"), F.col("sha"))
+    heads = cut(walk.select(*key, F.when(F.col("eldest"), F.col("parent")).alias("ptr"), start.alias("first")))
+    while heads.where(F.col("ptr").isNotNull()).take(1):
+        heads = cut(_jump(heads, ["first"], {"first": F.coalesce("first", "first2")}))
+    firsts = walk.select("repo_id", F.col("sha").alias("first"), F.col("pre").alias("head"), F.col("parent").alias("over"))
+    overs = walk.select("repo_id", F.col("sha").alias("over"), F.col("pre").alias("up"))
+    top = firsts.where(F.col("over").isNull()).withColumn("up", F.lit(None).cast("long"))
+    low = firsts.where(F.col("over").isNotNull()).join(overs, ["repo_id", "over"])
+    paths = heads.join(top.unionByName(low).drop("over"), ["repo_id", "first"]).select(*key, "head", "up")
+    columns = [*key, "parent", "root_sha", "depth", "pre", "size", "head", "up"]
+    none = F.lit(None).cast("long")
+    cyclic = placed.where(F.col("depth") < 0).withColumns({"root_sha": F.lit(""), "pre": none, "size": none, "head": none, "up": none})
+    return walk.join(paths, key).select(columns).unionByName(cyclic.select(columns))
 
 
 def hierarchy(commits: DataFrame, peel_rows: int = PEEL_ROWS) -> DataFrame:
-    """(repo_id, sha, parent, root_sha, depth, pre, size): one row for each commit of each repository."""
+    """(repo_id, sha, parent, root_sha, depth, pre, size, head, up): one row for each commit of each repository."""
     nodes = links(commits)
     sizes = commits.where(F.col("repo_id").isNotNull()).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
     large = cut(sizes.where(F.col("n") > peel_rows).select("repo_id"))  # at most rows / peel_rows names
@@ -140,26 +183,34 @@ def hierarchy(commits: DataFrame, peel_rows: int = PEEL_ROWS) -> DataFrame:
     return small.unionByName(double(nodes.join(large, "repo_id", "left_semi")).select(small.columns))
 
 
+def _wanted(tree: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    return wanted.select("repo_id", "sha").distinct().join(tree.where(F.col("pre").isNotNull()), ["repo_id", "sha"]).select("repo_id", "root_sha", "sha", *columns)
+
+
+def _in_ranges(ranges: DataFrame, tree: DataFrame, name: str) -> DataFrame:
+    """(repo_id, sha, <name>_sha, <name>_depth): the nodes whose place is in [lo, hi] of (repo_id, root_sha, sha, lo, hi)."""
+    cut_up = ranges.where(F.col("lo") <= F.col("hi")).withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK))))
+    u = tree.where(F.col("pre").isNotNull()).select("repo_id", "root_sha", F.floor(F.col("pre") / BLOCK).alias("block"), "pre", F.col("sha").alias(f"{name}_sha"), F.col("depth").alias(f"{name}_depth"))
+    met = cut_up.join(u, ["repo_id", "root_sha", "block"]).where(F.col("pre").between(F.col("lo"), F.col("hi")))
+    return met.select("repo_id", "sha", f"{name}_sha", f"{name}_depth")
+
+
 def ancestors(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """(repo_id, sha, ancestor_sha, ancestor_depth): the path from the root to each wanted node, itself included.
 
-    The number of rows is the total length of the wanted paths, so callers ask for the nodes they need.
+    The number of rows is the total length of the wanted paths, so callers ask for the nodes they need. At most
+    log2(n) rounds find the heavy paths on the way up; nodes on or leading to a cycle have no path.
     """
-    v = wanted.select("repo_id", "sha").distinct().join(tree, ["repo_id", "sha"]).select("repo_id", "root_sha", "sha", F.col("pre").alias("at"))
-    u = tree.select("repo_id", "root_sha", F.col("sha").alias("ancestor_sha"), F.col("depth").alias("ancestor_depth"), "pre", "size")
-    return (
-        v.join(u, ["repo_id", "root_sha"])
-        .where((F.col("pre") <= F.col("at")) & (F.col("at") < F.col("pre") + F.col("size")))
-        .select("repo_id", "sha", "ancestor_sha", "ancestor_depth")
-    )
+    at = cut(_wanted(tree, wanted, F.col("pre").alias("hi"), F.col("head").alias("lo"), "up"))
+    ranges, over = at.drop("up"), tree.where(F.col("pre").isNotNull()).select("repo_id", "root_sha", F.col("pre").alias("hi"), F.col("head").alias("lo"), F.col("up").alias("next"))
+    while at.where(F.col("up").isNotNull()).take(1):
+        climb = at.where(F.col("up").isNotNull()).select("repo_id", "root_sha", "sha", F.col("up").alias("hi"))
+        at = cut(climb.join(over, ["repo_id", "root_sha", "hi"]).select("repo_id", "root_sha", "sha", "hi", "lo", F.col("next").alias("up")))
+        ranges = ranges.unionByName(at.drop("up"))
+    return _in_ranges(ranges, tree, "ancestor")
 
 
 def descendants(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """(repo_id, sha, descendant_sha, descendant_depth): all nodes below each wanted node."""
-    v = wanted.select("repo_id", "sha").distinct().join(tree, ["repo_id", "sha"]).select("repo_id", "root_sha", "sha", F.col("pre").alias("lo"), (F.col("pre") + F.col("size")).alias("hi"))
-    u = tree.select("repo_id", "root_sha", F.col("sha").alias("descendant_sha"), F.col("depth").alias("descendant_depth"), "pre")
-    return (
-        v.join(u, ["repo_id", "root_sha"])
-        .where((F.col("lo") < F.col("pre")) & (F.col("pre") < F.col("hi")))
-        .select("repo_id", "sha", "descendant_sha", "descendant_depth")
-    )
+    v = _wanted(tree, wanted, (F.col("pre") + 1).alias("lo"), (F.col("pre") + F.col("size") - 1).alias("hi"))
+    return _in_ranges(v, tree, "descendant")

@@ -15,15 +15,19 @@ unknown entities are ignored; empty tables give an empty history; further column
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeline.functions.canonical import json_digest
 from lodeline.session import cut
 
-#: Rows of one entity from which its chain is cut into ranges of time.
-HOT_ROWS = 200_000
+#: Rows of one entity from which its chain is cut into ranges of time, rows of a range, and ranges of one entity.
+HOT_ROWS, RANGE_ROWS, MOST_RANGES = 200_000, 50_000, 1_024
 #: Hot entities up to which their list is broadcast; beyond, the join shuffles.
 BROADCAST_HOT = 20_000
 
@@ -87,17 +91,27 @@ def _plain_chains(events: DataFrame) -> DataFrame:
     return _shape(opened, report, F.lead("at").over(w))
 
 
-def _hot_chains(events: DataFrame, hot: DataFrame, hot_rows: int) -> DataFrame:
-    """Chains of hot entities, cut into ranges of time; ``hot`` has (id, n)."""
-    cuts = (
-        events.join(F.broadcast(hot), "id")
-        .groupBy("id")
-        .agg(F.percentile_approx(F.unix_micros(F.col("at").cast("timestamp")), F.array(*[F.lit(k / 64) for k in range(1, 64)]), 2000).alias("cuts"))
-    )
+def _ranges(events: DataFrame, hot: DataFrame) -> DataFrame:
+    """(id, cuts): instants that cut a hot entity's rows into ranges of about ``RANGE_ROWS``, at most ``MOST_RANGES``."""
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    shares = F.array(*[F.lit(k / MOST_RANGES) for k in range(1, MOST_RANGES)])
+    cuts = events.join(hot, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(micros, shares, 4 * MOST_RANGES).alias("q"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(MOST_RANGES) / F.ceil(F.col("n") / RANGE_ROWS))).cast("int")
+    return cuts.select("id", F.filter("q", lambda _, i: (i + 1) % step == 0).alias("cuts"))
+
+
+def _hot_chains(events: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
+    """Chains of hot entities, cut into ranges of time; ``hot`` has ``n_hot`` ids.
+
+    Only the ranges' limits are ever broadcast, and only while there are few hot ids; everything else that meets by
+    (id, range) is shuffled on both, so no entity is in one task and nothing grows with a broadcast.
+    """
+    cuts = cut(_ranges(events, hot))
+    few = n_hot <= BROADCAST_HOT
     at = F.unix_micros(F.col("at").cast("timestamp"))
-    ranged = events.join(F.broadcast(cuts), "id").withColumn("range_no", F.size(F.filter("cuts", lambda c: c < at))).drop("cuts")
+    ranged = events.join(F.broadcast(cuts) if few else cuts, "id").withColumn("range_no", F.size(F.filter("cuts", lambda c: c < at))).drop("cuts")
     folded = cut(_carried(ranged, ["id", "range_no"]))
-    by_range = W.partitionBy("id").orderBy("range_no")
+    by_range = W.partitionBy("id").orderBy("range_no")  # at most MOST_RANGES rows an id
     before = by_range.rowsBetween(W.unboundedPreceding, -1)
     ends = folded.groupBy("id", "range_no").agg(
         F.max_by(F.struct("report"), F.when(F.col("report").isNotNull(), F.col("at"))).alias("last_report"), F.max_by("lifecycle", "at").alias("last_lifecycle")
@@ -109,7 +123,7 @@ def _hot_chains(events: DataFrame, hot: DataFrame, hot_rows: int) -> DataFrame:
     )
     w = W.partitionBy("id", "range_no").orderBy("at")
     known = (
-        folded.join(F.broadcast(seams), ["id", "range_no"])
+        folded.join(seams, ["id", "range_no"])
         .withColumn("report", F.coalesce(F.col("report"), F.col("in_report.report")))
         .withColumn("nth", F.row_number().over(w))
         .withColumn("lagged", F.lag(F.struct(F.col("report"), F.col("lifecycle"))).over(w))
@@ -121,25 +135,35 @@ def _hot_chains(events: DataFrame, hot: DataFrame, hot_rows: int) -> DataFrame:
     after = by_range.rowsBetween(1, W.unboundedFollowing)
     nexts = opened.groupBy("id", "range_no").agg(F.min("at").alias("first_at"))
     nexts = nexts.select("id", "range_no", F.min("first_at").over(after).alias("later_at"))
-    closed = opened.withColumn("valid_to", F.lead("at").over(w)).join(F.broadcast(nexts), ["id", "range_no"])
+    closed = opened.withColumn("valid_to", F.lead("at").over(w)).join(nexts, ["id", "range_no"])
     return _shape(closed, F.col("report"), F.coalesce("valid_to", "later_at"))
 
 
+def chains_of(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """All intervals of all entities that ``events`` tells of (see change_events)."""
+    sizes = events.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    hot = cut(sizes.where(F.col("n") > hot_rows).select("id"))  # at most rows / hot_rows ids
+    n_hot = hot.count()
+    if not n_hot:
+        return _plain_chains(events)
+    few = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
+    return _plain_chains(events.join(few, "id", "left_anti")).unionByName(_hot_chains(events, few, n_hot))
+
+
 def build_chains(updates: DataFrame, changes: DataFrame, with_attributes: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All intervals of all entities in ``updates``: (id, valid_from, valid_to, lifecycle[, attributes]).
 
     ``valid_to`` is null for the version in force.
     """
-    events = change_events(updates, changes, with_attributes)
-    hot = updates.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    # only the two id columns are read to find hot entities, before any attribute is
+    sizes = updates.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     late = changes.where(F.col("entity_id").isNotNull()).groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    hot = cut(hot.unionByName(late).where(F.col("n") > hot_rows).select("id").distinct())  # at most rows / hot_rows ids
-    n_hot = hot.count()
+    hot = cut(sizes.unionByName(late).where(F.col("n") > hot_rows).select("id").distinct())  # at most rows / hot_rows ids
+    events, n_hot = change_events(updates, changes, with_attributes), hot.count()
     if not n_hot:
         return _plain_chains(events)
-    ids = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
-    plain = _plain_chains(events.join(ids, "id", "left_anti"))
-    return plain.unionByName(_hot_chains(events, hot, hot_rows))
+    few = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
+    return _plain_chains(events.join(few, "id", "left_anti")).unionByName(_hot_chains(events, few, n_hot))
 
 
 def apply_batch(history: DataFrame | None, updates: DataFrame, changes: DataFrame, touched: DataFrame | None = None, with_attributes: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -160,40 +184,122 @@ def apply_batch(history: DataFrame | None, updates: DataFrame, changes: DataFram
     return history.join(touched, "id", "left_anti").select(rebuilt.columns).unionByName(rebuilt)
 
 
+class StaleWrite(RuntimeError):
+    """Another writer committed first; the batch has to be applied again to what that one left."""
+
+
 class HistoryStore:
-    """A history table that a batch replaces in one step: versions side by side and a pointer that is swapped last.
+    """Raw changes and chains laid out by a hash of the entity, so that a batch reads and rewrites only the buckets it touches.
+
+    Every write goes to a folder of its own. A manifest names, for each bucket, the folder with its chains, and all
+    folders with raw changes; it is put in place by one rename that fails if its number is taken. A reader sees one
+    manifest, so the old or the new chains and never a mixture; of two writers that began from the same manifest the
+    second gets StaleWrite and has touched nothing the first one's manifest names. ``vacuum`` removes what no kept
+    manifest names.
 
-    A reader sees the old or the new chains, never a mixture; a job that dies leaves the pointer where it was.
+    Within a touched bucket the chains of touched entities are rebuilt from all their raw changes; the others are copied.
     """
 
-    def __init__(self, spark, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 256, hot_rows: int = HOT_ROWS):
+        self.spark, self.root, self.buckets, self.hot_rows = spark, root.rstrip("/"), buckets, hot_rows
+
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
 
     def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str = "") -> list[str]:
+        fs = self._fs()
+        return [s.getPath().getName() for s in fs.listStatus(self._path(folder))] if fs.exists(self._path(folder)) else []
+
+    def _buckets(self, folder: str) -> set[int]:
+        return {int(n[7:]) for n in self._names(folder) if n.startswith("bucket=")}
+
+    def versions(self) -> list[int]:
+        return sorted(int(n[9:-5]) for n in self._names() if n.startswith("manifest-") and n.endswith(".json"))
 
     def version(self) -> int | None:
-        fs, path = self._fs()
-        if not fs.exists(path(self.root)):
-            return None
-        done = [s.getPath().getName() for s in fs.listStatus(path(self.root))]
-        found = [int(n[8:]) for n in done if n.startswith("current-")]
-        return max(found) if found else None
-
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else self.spark.read.parquet(f"{self.root}/v{v}")
-
-    def apply(self, updates: DataFrame, changes: DataFrame, touched: DataFrame | None = None) -> DataFrame:
-        v = self.version()
-        after = apply_batch(self.read(), updates, changes, touched)
-        n = 0 if v is None else v + 1
-        after.write.mode("overwrite").parquet(f"{self.root}/v{n}")
-        fs, path = self._fs()
-        fs.create(path(f"{self.root}/current-{n}"), False).close()  # fails if another writer took the number
-        return self.spark.read.parquet(f"{self.root}/v{n}")
+        return max(self.versions(), default=None)
+
+    def _manifest(self, version: int | None) -> dict:
+        if version is None:
+            return {"raw": [], "chains": {}}
+        stream = self._fs().open(self._path(f"manifest-{version}.json"))
+        try:
+            text = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+        return json.loads(text)
+
+    def _commit(self, version: int, manifest: dict) -> None:
+        fs, draft = self._fs(), self._path(f"_draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(manifest), "utf-8"))
+        out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri() if self._path().toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(draft, self._path(f"manifest-{version}.json"), how)
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise StaleWrite(f"version {version} is taken") from None
+            raise
+
+    def _chains(self, manifest: dict, buckets: set[int] | None = None) -> DataFrame | None:
+        by_folder: dict[str, list[int]] = {}
+        for bucket, folder in manifest["chains"].items():
+            if buckets is None or int(bucket) in buckets:
+                by_folder.setdefault(folder, []).append(int(bucket))
+        out = None
+        for folder, own in sorted(by_folder.items()):  # at most one folder a batch still in force
+            part = self.spark.read.parquet(f"{self.root}/chains/{folder}").where(F.col("bucket").isin(own))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The history of a version, by default the newest; None if there is none."""
+        version = self.version() if version is None else version
+        found = self._chains(self._manifest(version))
+        return None if found is None else found.drop("bucket")
+
+    def apply(self, updates: DataFrame, changes: DataFrame) -> DataFrame:
+        """Takes in a batch of raw rows (only the new ones) and returns the history after it."""
+        version = self.version()
+        manifest = self._manifest(version)
+        raw = uuid.uuid4().hex
+        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+        change_events(updates, changes).withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/raw/{raw}")
+        hit = self._buckets(f"raw/{raw}")
+        if not hit:  # an empty batch
+            return self.read()
+        arrived = self.spark.read.parquet(f"{self.root}/raw/{raw}")
+        touched = arrived.select("id").distinct()
+        events = arrived
+        for folder in manifest["raw"]:
+            events = events.unionByName(self.spark.read.parquet(f"{self.root}/raw/{folder}").where(F.col("bucket").isin(sorted(hit))))
+        rebuilt = chains_of(events.drop("bucket").join(touched, "id", "left_semi"), self.hot_rows)
+        old = self._chains(manifest, hit)
+        after = rebuilt if old is None else old.drop("bucket").join(touched, "id", "left_anti").select(rebuilt.columns).unionByName(rebuilt)
+        folder = uuid.uuid4().hex
+        after.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/chains/{folder}")
+        chains = {k: v for k, v in manifest["chains"].items() if int(k) not in hit} | {str(k): folder for k in sorted(self._buckets(f"chains/{folder}"))}
+        self._commit(0 if version is None else version + 1, {"raw": [*manifest["raw"], raw], "chains": chains})
+        return self.read()
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Removes all but the newest ``keep`` versions, and data folders none of them names. Not while a batch is applied."""
+        fs, versions = self._fs(), self.versions()
+        kept = [self._manifest(v) for v in versions[-keep:]]
+        for v in versions[:-keep]:
+            fs.delete(self._path(f"manifest-{v}.json"), False)
+        for kind, used in (("raw", {f for m in kept for f in m["raw"]}), ("chains", {f for m in kept for f in m["chains"].values()})):
+            for name in self._names(kind):
+                if name not in used:
+                    fs.delete(self._path(f"{kind}/{name}"), True)
 
 
 def as_of(history: DataFrame, at: F.Column) -> DataFrame:

@@ -85,9 +85,29 @@ def test_paths_and_descendants_from_the_preorder(spark):
     assert descendants(tree, wanted).count() == sum(len(p) - 1 for p in path.values())
 
 
+def test_both_ways_give_the_same_places_and_lists(spark):
+    data = made(7)
+    small, large = (hierarchy(spark.createDataFrame(data, C), bound) for bound in (10_000, 30))
+    columns = ["repo_id", "sha", "parent", "root_sha", "depth", "pre", "size", "head", "up"]
+    assert sorted(map(str, small.select(columns).collect())) == sorted(map(str, large.select(columns).collect()))
+
+
+def test_wide_and_deep_tree_lists(spark, monkeypatch):
+    from lodeline.operators import hierarchy as H
+
+    monkeypatch.setattr(H, "BLOCK", 7)
+    data = [(i, "r", f"{i:03d}", [f"{(i - 1 if i % 3 else i // 2):03d}"] if i else None, datetime(2020, 1, 1), "x", "y") for i in range(120)]
+    want, up = brute(data)
+    df = spark.createDataFrame(data, C)
+    tree = hierarchy(df)
+    assert ancestors(tree, df).count() == sum(d + 1 for _, d in want.values())
+    assert descendants(tree, df).count() == sum(d for _, d in want.values())
+
+
 def test_long_chain_and_empty(spark):
     n = 5000
     up = np.arange(-1, n - 1)
-    root, depth, pre, size = peel(up)
+    root, depth, pre, size, head, above = peel(up)
+    assert (head == 0).all() and (above == -1).all()
     assert (root == 0).all() and (depth == np.arange(n)).all() and (pre == np.arange(n)).all() and (size == np.arange(n, 0, -1)).all()
     assert hierarchy(spark.createDataFrame([], C)).count() == 0

@@ -2,10 +2,11 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodeline.functions.canonical import canonical_json
-from lodeline.operators.history import HistoryStore, apply_batch, as_of, build_chains
+from lodeline.operators.history import HistoryStore, StaleWrite, apply_batch, as_of, build_chains
 
 U = "delivery_id long, id string, attributes string, lifecycle string, source_observed_at timestamp_ntz, recorded_at timestamp_ntz, digest string, n long"
 C = "change_id long, entity_id string, change_action string, changed_at timestamp_ntz, recorded_at timestamp_ntz, at string"
@@ -99,12 +100,42 @@ def test_empty_tables(spark):
 def test_store_swaps_versions_and_reads_as_of(spark, tmp_path):
     ups, chs = made(4, 80)
     u, c = frames(spark, ups, chs)
-    store = HistoryStore(spark, str(tmp_path / "h"))
+    store = HistoryStore(spark, str(tmp_path / "h"), buckets=4)
     assert store.read() is None
     store.apply(u.limit(0), c)
     assert store.version() == 0
-    after = store.apply(u, c, u.select("id"))
+    after = store.apply(u, c.limit(0))
     assert store.version() == 1 and rows(after) == brute(ups, chs)
     at = F.lit(t(30)).cast("timestamp_ntz")
     per_entity = as_of(after, at).groupBy("id").count().collect()
     assert per_entity and all(r["count"] == 1 for r in per_entity)
+    assert store.apply(u.limit(0), c.limit(0)).count() == after.count() and store.version() == 1  # nothing came, nothing is written
+
+
+def test_batches_in_any_order_and_untouched_buckets_stay(spark, tmp_path):
+    ups, chs = made(5, 120)
+    u, c = frames(spark, ups, chs)
+    store = HistoryStore(spark, str(tmp_path / "h"), buckets=8, hot_rows=20)
+    for k in (2, 0, 1):
+        store.apply(u.where(F.col("delivery_id") % 3 == k), c.where(F.col("change_id") % 3 == k))
+    assert rows(store.read()) == brute(ups, chs)
+    before = store._manifest(store.version())["chains"]
+    store.apply(u.where("id = 'a'").limit(1), c.limit(0))
+    after = store._manifest(store.version())["chains"]
+    assert sum(before[k] != after[k] for k in before) <= 1
+    kept = rows(store.read())
+    store.vacuum(1)
+    assert store.versions() == [3] and rows(store.read()) == kept
+
+
+def test_two_writers_from_one_version_never_mix(spark, tmp_path, monkeypatch):
+    ups, chs = made(6, 60)
+    u, c = frames(spark, ups, chs)
+    first, second = (HistoryStore(spark, str(tmp_path / "h"), buckets=4) for _ in range(2))
+    first.apply(u.where("id = 'a'"), c.limit(0))
+    monkeypatch.setattr(second, "version", lambda: 0)  # has read version 0 and is slower
+    first.apply(u.where("id = 'b'"), c.limit(0))
+    want = rows(first.read())
+    with pytest.raises(StaleWrite):
+        second.apply(u.where("id = 'c'"), c.limit(0))
+    assert rows(first.read()) == want and first.versions() == [0, 1]
