@@ -1,20 +1,28 @@
 """Credentials in source code, configuration and commit subjects: found, and cut out without harm to what is around.
 
-Method: the openings of all known token formats, of key armor, of connection strings and of the names under which
-credentials are kept are one deterministic automaton (Aho-Corasick). A text is scanned in overlapping chunks; each
-state that ends an opening asks the grammar of that opening for the exact span; spans carry absolute positions, so
-what two chunks both see counts once; redaction splices a placeholder into each span. A JSON statement is scanned
-string by string as decoded and spliced in its raw spelling, so the rest stays as it was, byte for byte.
+Method: token formats, the two lines of key armor and the grammars of connection strings and query parameters are one
+deterministic automaton (``automaton.py``). Where a credential can begin is found by an Aho-Corasick machine over the
+openings, which also knows the names under which credentials are kept and the commands that take them; a text is scanned
+in overlapping chunks, and what two chunks both see counts once by its absolute place. From an opening the automaton runs
+on over the whole text, its state carried over the limits of chunks; an armor's last line is matched to the earliest open
+first line with the same label. Spans are merged in one sweep and placeholders are spliced in. A JSON statement is
+scanned string by string as decoded and spliced in its raw spelling, so the rest stays as it was, byte for byte.
+
+Time is linear in the text: runs that meet an earlier one in the same state end there, lines and runs of characters are
+measured once, and a value under a name has at most ``MOST`` characters.
 
 Defined cases: null texts give no row and stay null; a statement that is no JSON is scanned as plain text; empty
 texts, empty tables and further columns are harmless; repeated rows are each scanned; texts of any length are scanned
-whole; a credential that occurs several times in a row is reported once and replaced everywhere.
+whole; a credential that occurs several times in a row is reported once and replaced everywhere; a value under a name,
+in a query or after a command that is longer than ``MOST`` characters is none (formats, armor and connection strings have
+no such limit).
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,9 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.llm.automaton import Automaton, Runner
+
 #: Characters scanned at once, and how far the next chunk reaches back; an opening is always shorter than the overlap.
 CHUNK, OVERLAP = 65_536, 256
 PLACEHOLDER = "[REDACTED]"
+#: Characters of the longest value under a name.
+MOST = 4_096
 
 #: opening -> the whole token. Published token formats.
 TOKENS = {
@@ -43,19 +55,23 @@ NAMES = (
 #: Where spans overlap, the grammar that fixes more of what it reads wins.
 RANK = {"armor": 0, "url": 1, "command": 1, "token": 2, "query": 3, "name": 4}
 _LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
-_ARMOR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY((?: BLOCK)?)-----.*?-----END \1PRIVATE KEY\2-----", re.S)
-_USERINFO = re.compile(r"""://([^\s/?#@:'"<>`]*):([^\s/?#'"<>`]+)@""")
-_QUERY_KEY = re.compile(r"""[?&](?:api_?key|key|token|access_token|auth|secret|password|sig|signature)=([^\s&'"#<>`;]+)""", re.I)
+_LABEL = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_GRAMMARS = [
+    ("begin", "-----BEGIN " + _LABEL), ("end", "-----END " + _LABEL), ("url", r"""://[^\s/?#@:'"<>`]*:[^\s/?#'"<>`]+@"""),
+    ("query", r"""[?&](?:[Aa][Pp][Ii]_?)?[Kk][Ee][Yy]=[^\s&'"#<>`;]+"""), ("query", r"""[?&](?:[Aa][Cc][Cc][Ee][Ss][Ss]_)?[Tt][Oo][Kk][Ee][Nn]=[^\s&'"#<>`;]+"""),
+    ("query", r"""[?&](?:[Aa][Uu][Tt][Hh]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Ss][Ii][Gg](?:[Nn][Aa][Tt][Uu][Rr][Ee])?)=[^\s&'"#<>`;]+"""),
+]
 _SEPARATOR = re.compile(r"""["'\]]{0,2}[ \t]{0,8}(?::=|=>|=|:|>|,(?=[ \t]*["']))[ \t]{0,8}""")
 _QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
-_XML = re.compile(r"([^<\n]*)</")
-_BARE = re.compile(r"[^\s\"'`<>,]+")
+_NOT_XML = re.compile(r"[<\n]")
+_NOT_BARE = re.compile(r"[\s\"'`<>,]")
 _SCHEME = re.compile(r"(?:Basic|Bearer|token|Digest|ApiKey)\s+", re.I)
-_PARAMETER = re.compile(r"[?&][\w-]*$")
-_SPOKEN = re.compile(r"""\s+(?:(?:to|is|was|with|as|of)\s+)?(["'`]?)([^\s"'`]+)\1""")
-_FLAG_P = re.compile(r"""(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;&]*?\s-p(["']?)([^\s"']+)\1""")
-_SSHPASS = re.compile(r"""sshpass\s+-p\s*(["']?)([^\s"']+)\1""")
-_USER_PAIR = re.compile(r"""(?:curl|wget|http)\b[^\n|;&]*?\s(?:-u|--user)[\s=]+(["']?)[^\s:"']+:([^\s"']+)\1""")
+_SPOKEN = re.compile(r"""\s{1,64}(?:(?:to|is|was|with|as|of)\s{1,64})?(["'`]?)([^\s"'`]{1,4096})(?![^\s"'`])\1""")
+_FLAG = re.compile(r"""[ =](['"]?)([^\s'"]{1,4096})(?![^\s'"])\1""")
+# options stand within a thousand characters of their command, so that a line of many commands takes linear time
+_FLAG_P = re.compile(r"""(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;&]{0,1024}?\s-p(["']?)([^\s"']{1,4096})(?![^\s"'])\1""")
+_SSHPASS = re.compile(r"""sshpass\s{1,64}-p\s{0,64}(["']?)([^\s"']{1,4096})(?![^\s"'])\1""")
+_USER_PAIR = re.compile(r"""(?:curl|wget|http)\b[^\n|;&]{0,1024}?\s(?:-u|--user)[\s=]{1,64}(["']?)[^\s:"']{1,256}:([^\s"']{1,4096})(?![^\s"'])\1""")
 
 _FILLER = re.compile(
     r"""^(?:<.*>|\$\{.*|\$\(.*|\$[A-Za-z_]\w*|%[A-Za-z_]\w*%|\{\{.*|\{[A-Za-z_.]*\}|@[A-Za-z_.]+@|[*x#.•?_-]{3,}|null|none|nil|undefined|true|false|todo|tbd|n/a|changeme|change[-_]me|example|
@@ -69,6 +85,7 @@ _IDENT = re.compile(r"^[A-Za-z_$][A-Za-z_$.]*$")
 _SHA = re.compile(r"^[0-9a-f]{40}$|^[0-9a-f]{64}$")
 _UUID = re.compile(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", re.I)
 _SAME = re.compile(r"(.)\1{5,}")
+_DIGIT = re.compile(r"\d")
 
 
 def _filler(value: str) -> bool:
@@ -95,63 +112,99 @@ _NAME = re.compile(r"(?:%s)(?![A-Za-z0-9_-])" % "|".join(sorted(map(_name_patter
 
 
 def _openings() -> ahocorasick.Automaton:
-    """One automaton over everything a credential can begin with, on lower-cased text."""
+    """Everything a credential can begin with, on lower-cased text: (length, kinds of what may follow)."""
     machine = ahocorasick.Automaton()
-    add: dict[str, list] = {}
-    for opening, whole in TOKENS.items():
-        add.setdefault(opening, []).append(("token", re.compile(r"(?<![A-Za-z0-9_])" + whole + r"(?![A-Za-z0-9_])")))
-    add["-----begin "] = [("armor", None)]
-    add["://"] = [("url", None)]
+    add: dict[str, set[str]] = {}
+    for opening in (*TOKENS, "-----begin ", "-----end ", "://", *(a + k + "=" for a in "?&" for k in ("key", "apikey", "api_key", "token", "access_token", "auth", "secret", "password", "sig", "signature"))):
+        add.setdefault(opening, set()).add("grammar")
     for name in NAMES:
         for joint in ("-", "_", "", " ") if "-" in name else ("",):
-            add.setdefault(name.replace("-", joint), []).append(("name", None))
+            add.setdefault(name.replace("-", joint), set()).add("name")
     for word in ("mysql", "mariadb", "sshpass", "curl", "wget"):
-        add.setdefault(word, []).append(("command", None))
-    for key in ("?key=", "&key=", "?sig=", "&sig=", "?token=", "&token=", "?apikey=", "&apikey=", "?auth=", "&auth="):
-        add.setdefault(key, []).append(("query", None))
-    for opening, rules in add.items():
-        machine.add_word(opening, (len(opening), tuple(rules)))
+        add.setdefault(word, set()).add("command")
+    for opening, kinds in add.items():
+        machine.add_word(opening, (len(opening), tuple(sorted(kinds))))
     machine.make_automaton()
     return machine
 
 
-_MACHINE: ahocorasick.Automaton | None = None
+def _grammars() -> Automaton:
+    return Automaton([*(("token", whole) for whole in TOKENS.values()), *_GRAMMARS], whole=("token",))
+
+
+_MACHINES: list = []
+
+
+class _Text:
+    """A text with its lines and runs of characters, each measured once; places are asked for in ascending order."""
+
+    def __init__(self, text: str):
+        self.text, self.runs = text, {}
+        self.line_start, self.line_end, self.first_sign = 0, -1, 0
 
+    def at(self, place: int) -> None:
+        """Makes the line of ``place`` the current one."""
+        if place > self.line_end:
+            self.line_start = self.text.rfind("\n", self.line_end + 1, place) + 1 if self.line_end >= 0 else self.text.rfind("\n", 0, place) + 1
+            self.line_start = max(self.line_start, self.line_end + 1)
+            end = self.text.find("\n", place)
+            self.line_end = end if end >= 0 else len(self.text)
+            signs = [p for p in (self.text.find(c, self.line_start, self.line_end) for c in ";=") if p >= 0]
+            self.first_sign = min(signs, default=self.line_end)
 
-def _value_at(text: str, at: int, xml: bool) -> tuple[int, int, bool] | None:
+    def run_end(self, stop: re.Pattern, place: int) -> int:
+        """Where the run of characters that ``stop`` does not match ends."""
+        last = self.runs.get(stop)
+        if last is None or not last[0] <= place <= last[1]:
+            m = stop.search(self.text, place)
+            last = self.runs[stop] = (place, m.start() if m else len(self.text))
+        return last[1]
+
+    def next(self, what: re.Pattern, place: int) -> int:
+        """Where the first match of ``what`` from ``place`` on begins, the text's length if there is none."""
+        last = self.runs.get(what)
+        if last is None or last < place:
+            m = what.search(self.text, place)
+            last = self.runs[what] = m.start() if m else len(self.text)
+        return last
+
+    def in_query(self, place: int) -> bool:
+        """Whether a name that ends in a parameter of a query begins here or a little before."""
+        text, i, low = self.text, place, max(self.line_start, place - 256)
+        while i > low and (text[i - 1].isalnum() or text[i - 1] in "_-"):
+            i -= 1
+        return i > self.line_start and text[i - 1] in "?&"
+
+
+def _value_at(t: _Text, at: int, xml: bool) -> tuple[int, int, bool] | None:
     """Span of the value that starts at ``at``, without quotes and a scheme word; whether it was quoted."""
-    escaped = text.startswith(('\\"', "\\'"), at)
-    if escaped:  # a quoted value inside a quoted text
-        end = text.find(text[at : at + 2], at + 2)
-        return (at + 2, end, True) if end > 0 and "\n" not in text[at:end] else None
+    text = t.text
+    if text.startswith(('\\"', "\\'"), at):  # a quoted value inside a quoted text
+        end = text.find(text[at : at + 2], at + 2, min(t.line_end, at + MOST + 4))
+        return (at + 2, end, True) if end > 0 else None
     quoted = _QUOTED.match(text, at)
     if quoted:
         start, end = quoted.span(2)
         scheme = _SCHEME.match(text, start, end)
         return (scheme.end() if scheme else start, end, True)
     if xml:
-        inner = _XML.match(text, at)
-        return (*inner.span(1), True) if inner else None
+        end = t.run_end(_NOT_XML, at)
+        return (at, end, True) if text.startswith("</", end) else None
     scheme = _SCHEME.match(text, at)
     at = scheme.end() if scheme else at
-    bare = _BARE.match(text, at)
-    if not bare:
-        return None
-    start, end = bare.span()
-    return start, end, bool(scheme)
-
-
-def _trim_bare(text: str, start: int, end: int, connection: bool) -> int:
-    value = text[start:end]
-    if ";" in value and (connection or value.endswith(";")):
-        end = start + value.index(";")
-    while end > start and text[end - 1] in ",;\\)]}" and text[end - 1] not in "":
+    end = t.run_end(_NOT_BARE, at)
+    return (at, end, bool(scheme)) if end > at else None
+
+
+def _trim_bare(text: str, start: int, end: int) -> int:
+    while end > start and text[end - 1] in ",;\\)]}":
         end -= 1
     return end
 
 
-def _named(text: str, begin: int) -> Iterator[tuple[int, int]]:
+def _named(t: _Text, begin: int) -> Iterator[tuple[int, int]]:
     """Credentials under a name that begins at ``begin``."""
+    text = t.text
     name = _NAME.match(text, begin)
     if not name:
         return
@@ -163,20 +216,25 @@ def _named(text: str, begin: int) -> Iterator[tuple[int, int]]:
     sep = _SEPARATOR.match(text, at)
     if sep:
         xml = ">" in sep.group() and "=" not in sep.group()
-        got = _value_at(text, sep.end(), xml)
+        got = _value_at(t, sep.end(), xml)
         if not got:
             return
         start, end, quoted = got
         if not quoted:
-            line = text[text.rfind("\n", 0, begin) + 1 : begin]
-            end = _trim_bare(text, start, end, ";" in line or "=" in line)
-            if _PARAMETER.search(line) and (cut := re.compile("[&#]").search(text, start, end)):
-                end = cut.start()
+            # first the sign that ends a member of a list, wherever the run of characters ends
+            stop = ";&#" if t.in_query(begin) else ";"
+            far = min(end, start + MOST + 1)
+            ends = [p for c in stop if (c != ";" or t.first_sign < begin or text[end - 1] == ";") and (p := text.find(c, start, far)) >= 0]
+            end = min(ends, default=end)
+        if end - start > MOST:
+            return
+        if not quoted:
+            end = _trim_bare(text, start, end)
         if _plausible(text[start:end], quoted):
             yield start, end
         return
     if text[begin - 2 : begin] == "--" or not strong and text[begin - 1 : begin] not in " -":
-        got = re.compile(r"[ =](['\"]?)([^\s'\"]+)\1").match(text, at)
+        got = _FLAG.match(text, at)
         if got and _plausible(got.group(2), True):
             yield got.span(2)
         return
@@ -184,63 +242,71 @@ def _named(text: str, begin: int) -> Iterator[tuple[int, int]]:
     if spoken:
         start, end = spoken.span(2)
         if not spoken.group(1):
-            end = _trim_bare(text, start, end, False)
+            end = start + text[start:end].index(";") if text[end - 1] == ";" else end
+            end = _trim_bare(text, start, end)
         value = text[start:end]
         if _plausible(value, False) and not _SHA.match(value) and re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and not re.search(r"[/(\[]|\.\w{1,4}$", value):
             yield start, end
 
 
-def _grammar(text: str, begin: int, kind: str, pattern) -> Iterator[tuple[int, int]]:
-    if kind == "token":
-        hit = pattern.match(text, begin)
-        if hit and not _SAME.search(hit.group()) and (hit.group()[:3] not in ("sk-", "xox", "hf_") or re.search(r"\d", hit.group())):
-            yield hit.span()
-    elif kind == "armor":
-        hit = _ARMOR.match(text, begin)
-        if hit:
-            yield hit.span()
-    elif kind == "url":
-        hit = _USERINFO.match(text, begin)
-        if hit and not _filler(hit.group(2)):
-            yield hit.span(2)
-    elif kind == "query":
-        hit = _QUERY_KEY.match(text, begin)
-        if hit and _plausible(hit.group(1), True):
-            yield hit.span(1)
-    elif kind == "command":
-        for rule in (_FLAG_P, _SSHPASS, _USER_PAIR):
-            hit = rule.match(text, begin)
-            if hit and not _filler(hit.group(2)):
-                yield hit.span(2)
-    else:
-        yield from _named(text, begin)
+def _places(low: str, chunk: int, overlap: int) -> list[tuple[int, str]]:
+    """(place, kind) of all openings in ascending order, each once."""
+    openings, seen = _MACHINES[0], set()
+    for base in range(0, max(1, len(low)), chunk):
+        shift = max(0, base - overlap)
+        piece = low[shift : base + chunk]
+        for end, (length, kinds) in openings.iter(piece):
+            seen.update((shift + end - length + 1, kind) for kind in kinds)
+    return sorted(seen)
 
 
 def spans(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Absolute spans of all credentials in a text, without overlaps, in order."""
-    global _MACHINE
-    if _MACHINE is None:
-        _MACHINE = _openings()
+    if not _MACHINES:
+        _MACHINES.extend((_openings(), _grammars()))
     low = text.lower()
     if len(low) != len(text):  # rare capitals change length; keep positions
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    found: set[tuple[int, int, int]] = set()
-    for base in range(0, max(1, len(low)), chunk):
-        piece = low if len(low) <= chunk + overlap else low[max(0, base - overlap) : base + chunk]
-        shift = 0 if piece is low else max(0, base - overlap)
-        for end, (length, rules) in _MACHINE.iter(piece):
-            begin = shift + end - length + 1
-            for kind, pattern in rules:
-                found.update((RANK[kind], s, e) for s, e in _grammar(text, begin, kind, pattern))
-        if piece is low:
-            break
-    if not found:
+    places = _places(low, chunk, overlap)
+    if not places:
         return []
+    t, runner, names = _Text(text), Runner(_MACHINES[1], text), _MACHINES[1].names
+    found: set[tuple[int, int, int]] = set()
+    open_armor: dict[str, int] = {}
+    for begin, kind in places:
+        t.at(begin)
+        if kind == "grammar":
+            for k, end in runner.run(begin).items():
+                name = names[k]
+                if name == "begin":
+                    open_armor.setdefault(text[begin + 11 : end], begin)
+                elif name == "end":
+                    label = text[begin + 9 : end]
+                    if label in open_armor:
+                        found.add((RANK["armor"], open_armor.pop(label), end))
+                elif name == "token":
+                    if begin and text[begin - 1].isascii() and (text[begin - 1].isalnum() or text[begin - 1] == "_"):
+                        continue
+                    if t.next(_SAME, begin) + 6 > end and (text[begin : begin + 3] not in ("sk-", "xox", "hf_") or t.next(_DIGIT, begin) < end):
+                        found.add((RANK["token"], begin, end))
+                else:
+                    start, end = (text.index(":", begin + 3) + 1, end - 1) if name == "url" else (text.index("=", begin) + 1, end)
+                    if name == "url" and not _filler(text[start:end]) or name == "query" and end - start <= MOST and _plausible(text[start:end], True):
+                        found.add((RANK[name], start, end))
+        elif kind == "command":
+            for rule in (_FLAG_P, _SSHPASS, _USER_PAIR):
+                hit = rule.match(text, begin)
+                if hit and not _filler(hit.group(2)):
+                    found.add((RANK["command"], *hit.span(2)))
+        else:
+            found.update((RANK["name"], s, e) for s, e in _named(t, begin))
+    # one sweep in the order of rank; taken spans stand in order, so an overlap can only be with a neighbour
     out: list[tuple[int, int]] = []
     for _, s, e in sorted(found, key=lambda x: (x[0], x[1], -x[2])):
-        if all(e <= a or s >= b for a, b in out):
-            out.append((s, e))
-    return sorted(out)
+        i = bisect_right(out, (s, e))
+        if (i == 0 or out[i - 1][1] <= s) and (i == len(out) or out[i][0] >= e):
+            out.insert(i, (s, e))
+    return out
 
 
 def _decoded(raw: str) -> tuple[str, list[int] | None]:
@@ -278,6 +344,15 @@ def scan_text(text: str) -> tuple[list[str], str]:
     return list(dict.fromkeys(text[s:e] for s, e in found)), "".join([*parts, text[last:]])
 
 
+_COLON = re.compile(r"[ \t\r\n]*:")
+
+
+def _after_colon(raw: str, at: int) -> bool:
+    while at and raw[at - 1] in " \t\r\n":
+        at -= 1
+    return at > 0 and raw[at - 1] == ":"
+
+
 def scan_json(raw: str) -> tuple[list[str], str]:
     """The same for a JSON statement: its strings are scanned decoded and spliced raw."""
     try:
@@ -288,11 +363,11 @@ def scan_json(raw: str) -> tuple[list[str], str]:
     parts, last, member = [], 0, ""
     for literal in _LITERAL.finditer(raw):
         text, at = _decoded(literal.group())
-        is_name = raw[literal.end() :].lstrip()[:1] == ":" if raw[literal.end() : literal.end() + 1] in ": \n\t\r" else False
+        is_name = bool(_COLON.match(raw, literal.end()))
         found = spans(text)
         if is_name:
             member = text
-        elif not found and member and raw[: literal.start()].rstrip()[-1:] == ":" and (m := _NAME.search(member)) and m.end() == len(member) and _plausible(text, True):
+        elif not found and member and _after_colon(raw, literal.start()) and (m := _NAME.search(member)) and m.end() == len(member) and _plausible(text, True):
             found = [(0, len(text))]
         for s, e in found:
             secrets[text[s:e]] = None

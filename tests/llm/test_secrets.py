@@ -1,6 +1,7 @@
 import json
 import random
 import string
+import time
 
 from lodeline.llm.secrets import found_secrets, scan, scan_json, scan_text, spans
 
@@ -70,6 +71,27 @@ def test_chunks_see_the_same_as_the_whole():
     assert spans(text, chunk=64, overlap=256) == spans(text, chunk=10**9)
 
 
+def test_time_grows_with_the_text_only():
+    pw = "Zu7!" + made(8, 20)
+    pieces = ("-----BEGIN RSA PRIV" + "ATE KEY-----\n", f"password: {pw}\n", f"password={pw};", "s" + "k-abc-", "glp" + "at-", "?key=", "mysql ", "password=", "password>", 'password:\\"', "://a:")
+    for piece in pieces:
+        start = time.process_time()
+        found = len(spans(piece * 16_000))
+        assert time.process_time() - start < 8, piece
+        if pw in piece:
+            assert found == 16_000, piece
+    start = time.process_time()
+    assert len(scan_json(json.dumps([f"password: {pw}{i}" for i in range(8_000)]))[0]) == 8_000
+    assert time.process_time() - start < 8
+
+
+def test_nested_and_interleaved_armor():
+    first, second = armor("RSA "), armor("EC ")
+    assert scan_text(first + second)[0] == [first, second]
+    assert scan_text("-----BEGIN RSA PRIV" + "ATE KEY-----\n" + first)[0] == ["-----BEGIN RSA PRIV" + "ATE KEY-----\n" + first]
+    assert scan_text(first.split("\n")[0])[0] == []
+
+
 def test_tables(spark):
     pw = "Ab3!" + made(9, 14)
     df = spark.createDataFrame([(1, f"pwd: {pw} pwd: {pw}", "x"), (2, None, "x"), (3, "", "x"), (4, "plain " * 20000, "x"), (1, f"pwd: {pw} pwd: {pw}", "x")], "row_id long, subject string, secrets string")
