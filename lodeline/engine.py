@@ -35,7 +35,9 @@ class Engine:
         reason = A.withheld_reason(F.col("source_scope"), R.attribute("path"), F.col("observed_at"), access)
         self.all_entities, self.reason, self.access = tables.entities, reason, access
         self.entities = A.visible(tables.entities, reason)
-        self.evidence = tables.evidence.where(A.permitted(F.col("permission_scope"), access.grants))
+        # evidence is seen by those who may see both it and what it is about
+        told = tables.evidence.where(A.permitted(F.col("permission_scope"), access.grants))
+        self.evidence = told.join(self.entities.select(F.col("id").alias("subject_id")), "subject_id", "left_semi")
         self.edges = tables.edges
 
     def get_entity(self, entity_id: str) -> DataFrame:
@@ -49,34 +51,48 @@ class Engine:
     def withheld(self) -> DataFrame:
         return A.withheld_tally(self.all_entities, self.reason)
 
+    def _ranked(self, hits: DataFrame) -> DataFrame:
+        believed = self.evidence.where(F.col("evidence_state") == "current").groupBy(F.col("subject_id").alias("id"))
+        auth = believed.agg(F.max(L.effective_authority(F.col("authority"))).alias("auth"))
+        ranked = hits.join(self.entities, "id").join(auth, "id", "left").withColumn("auth", F.coalesce("auth", F.lit(L.UNDECLARED_AUTHORITY)))
+        return ranked.withColumn("standing", S.standing(F.col("lifecycle")))
+
     def _hits(self, q: S.Query) -> DataFrame:
-        text = F.concat_ws(" ", R.attribute("name"), R.attribute("path"), R.attribute("title"), R.attribute("statement"), F.col("source_id"))
+        text = F.concat_ws(" ", *[R.attribute(f) for f in ("name", "description", "path", "title", "statement")], F.translate(R.attribute("path"), "/-_.", "    "), F.col("source_id"))
         own = S.search(self.entities, "id", text, q).select("id", "score")
-        told = S.search(self.evidence, "evidence_id", F.col("statement"), q).join(self.evidence.select("evidence_id", F.col("subject_id").alias("id")), "evidence_id")
-        hits = own.unionByName(told.groupBy("id").agg(F.max("score").alias("score"))).groupBy("id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("sources"))
-        return hits.join(self.entities, "id").withColumn("standing", S.standing(F.col("lifecycle"))).withColumn("auth", F.lit(0))
+        told = S.search(self.evidence.withColumn("pair", F.struct("subject_id", "evidence_id")), "pair", F.col("statement"), q)
+        told = told.groupBy(F.col("pair.subject_id").alias("id")).agg(F.max("score").alias("score"))
+        hits = own.unionByName(told).groupBy("id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("sources"))
+        return self._ranked(hits)
 
     def search(self, line: str, limit: int = PAGE) -> DataFrame:
-        """Ranked hits. An id, path or object id is looked up exactly; prose is searched strictly first, then relaxed."""
-        line = line.strip()[:1024]
-        shape = "path" if ("/" in line or "\\" in line) and " " not in line else "prose"
+        """Ranked hits. What a line names exactly (an id, a path, a source id) stands first; the rest is searched strictly,
+        and relaxed hits fill up behind. A path or id that names nothing is searched like prose."""
+        line, limit = line.strip()[:1024], R.clamp_limit(limit)
         exact = self.entities.where((F.col("id") == line) | (R.attribute("path") == line) | (F.col("source_id") == line))
-        exact = exact.select("id", F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("sources")).join(self.entities, "id").withColumn("standing", S.standing(F.col("lifecycle"))).withColumn("auth", F.lit(0))
+        exact = self._ranked(exact.select("id", F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("sources"))).withColumn("tier", F.lit(0))
         q = S.parse(line)
-        hits = exact if shape == "path" else exact.unionByName(self._hits(S.relaxed(q)))
-        best = G.first_of(hits, ["id"], [F.col("score").desc()])
-        return best.orderBy(*S.rank_order()).limit(R.clamp_limit(limit))
+        hits = exact
+        if q.terms:
+            strict = self._hits(q).withColumn("tier", F.lit(1))
+            hits = hits.unionByName(strict)
+            if S.relaxed(q) != q:
+                hits = hits.unionByName(self._hits(S.relaxed(q)).withColumn("tier", F.lit(2)))
+        best = G.first_of(hits, ["id"], [F.col("tier"), F.col("score").desc()])
+        return best.orderBy("tier", *S.rank_order()).limit(limit)
 
     def explain(self, line: str, limit: int = PAGE) -> DataFrame:
         """The hits of a search, each with the first sort key in which it stays behind the one above it."""
-        return S.why_below(self.search(line, limit), [("standing", False), ("score", True), ("kind", False), ("id", False)])
+        return S.why_below(self.search(line, limit), [("tier", False), ("standing", False), ("score", True), ("auth", True), ("observed_at", True), ("kind", False), ("source_id", False), ("id", False)])
 
     def neighbours(self, entity_id: str, depth: int = 1, types: tuple[str, ...] = (), at: str | None = None) -> DataFrame:
         """One hop: edges; more: nodes with their distance. Nodes the caller may not see end the walk."""
         spark = self.entities.sparkSession
-        origin = spark.createDataFrame([(entity_id,)], "id string")
+        origin = spark.createDataFrame([(entity_id,)], "id string").join(self.entities.select("id"), "id", "left_semi")  # a hidden origin has no neighbours
         when = None if at is None else F.lit(at).cast("timestamp_ntz")
         visible = self.entities.select("id")
+        if not 1 <= depth <= G.MAX_DEPTH:
+            raise ValueError(f"depth must be between 1 and {G.MAX_DEPTH}")
         if depth <= 1:
             return G.neighbours(self.edges, origin, when, types).join(visible.withColumnRenamed("id", "other_id"), "other_id", "left_semi")
         from lodeline.operators.intervals import holds_at
@@ -96,3 +112,20 @@ class Engine:
     def answer(self, entity_id: str) -> DataFrame:
         """One preferred statement for each field of an entity, where the evidence allows one."""
         return L.preferred(self.evidence.where(F.col("subject_id") == entity_id)).select("field_name", "statement", "evidence_id", "confidence")
+
+    def contexts(self, kind: str = "context") -> DataFrame:
+        """Durable contexts in force, the latest observed first."""
+        return self.entities.where((F.col("kind") == kind) & (F.col("lifecycle") == "active")).orderBy(F.col("observed_at").desc(), "id")
+
+    def context_pack(self, line: str, budget: int = 4_000, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+        """(entries, omissions) for a question: contexts in force first, then hits, within a budget of estimated tokens."""
+        from pyspark.sql import Window as W
+
+        from lodeline.functions.text import estimate_tokens
+        from lodeline.operators.contexts import pack
+
+        cost = estimate_tokens(F.coalesce("attributes", F.lit("")))
+        standing = self.contexts().limit(500).select("id", F.row_number().over(W.orderBy(F.col("observed_at").desc(), "id")).alias("rank"), cost.alias("tokens"))
+        hits = self.search(line, min(5 * limit, R.MAX_LIMIT))
+        items = hits.select("id", F.row_number().over(W.orderBy("tier", *S.rank_order())).alias("rank"), cost.alias("tokens"))  # a page
+        return pack(standing, items, budget, most_items=limit)

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_HIT = F.col
-
-
 def precision(judged: DataFrame, k: int) -> DataFrame:
     """Share of relevant items among those returned in the first k (not among k)."""
     rows = judged.where(F.col("rank") <= k).groupBy("query_id")
@@ -61,3 +58,23 @@ def admit(rows: DataFrame, keys: list[str], order: str, cost: str, budget: int)
         return F.struct(F.when(fits, acc["used"] + x["cost"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["item"].cast("long")))).otherwise(acc["kept"]).alias("kept"))
 
     return free.unionByName(lists.select(*keys, F.explode(F.aggregate("items", start, step)["kept"]).alias(order)))
+
+
+def bench_scores(ranked: DataFrame, k: int) -> DataFrame:
+    """(task, sourced, rr_primary, stale_above_current, irrelevant5, recall, tokens) from (task, artefact, rank, expected,
+    primary, superseded, cost). ``stale_above_current`` is null for a task without superseded artefacts."""
+    inside = F.col("rank") <= k
+    first = lambda flag: F.min(F.when(F.col(flag) & inside, F.col("rank")))
+    stale = F.coalesce(first("superseded") < F.coalesce(first("primary"), F.lit(1 << 30)), F.lit(False))
+    return ranked.groupBy("task").agg(
+        (F.count_if("primary") == F.count_if(F.col("primary") & inside)).alias("sourced"), F.round(F.coalesce(1 / first("primary"), F.lit(0.0)), 6).alias("rr_primary"),
+        F.when(F.count_if("superseded") > 0, stale).alias("stale_above_current"), F.count_if((F.col("rank") <= 5) & ~F.col("expected") & ~F.col("superseded")).alias("irrelevant5"),
+        F.round(F.try_divide(F.count_if(F.col("expected") & inside), F.count_if("expected")), 6).alias("recall"), F.coalesce(F.sum(F.when(inside, F.col("cost"))), F.lit(0)).cast("long").alias("tokens"),
+    )
+
+
+def parse_quality(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(matched, found, expected, precision, recall) of (file_id, name) symbols against labelled ones, each once a file."""
+    marked = found.distinct().withColumn("f", F.lit(1)).join(labels.distinct().withColumn("l", F.lit(1)), ["file_id", "name"], "full_outer")
+    sums = marked.agg(F.count_if(F.col("f").isNotNull() & F.col("l").isNotNull()).alias("matched"), F.count("f").alias("found"), F.count("l").alias("expected"))
+    return sums.select("*", F.round(F.try_divide("matched", "found"), 6).alias("precision"), F.round(F.try_divide("matched", "expected"), 6).alias("recall"))

@@ -39,9 +39,11 @@ def neighbours(edges: DataFrame, wanted: DataFrame, at: Column | None = None, ty
 def traverse(hops: DataFrame, origins: DataFrame, depth: int, visible: DataFrame | None = None) -> DataFrame:
     """(origin, id, depth): nodes reached within ``depth`` hops of each origin, by the shortest way.
 
-    ``hops`` is (id, other_id). A node outside ``visible`` is neither returned nor walked through.
+    ``hops`` is (id, other_id). A node outside ``visible`` is neither returned nor walked through. More hops than
+    MAX_DEPTH raise; ``truncated`` tells of what lies behind the last hop.
     """
-    depth = min(depth, MAX_DEPTH)
+    if depth > MAX_DEPTH:
+        raise ValueError(f"a walk goes {MAX_DEPTH} hops at most")
     frontier = origins.select(F.col("id").alias("origin"), "id").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     steps = hops.select("id", "other_id").distinct()
@@ -56,6 +58,19 @@ def traverse(hops: DataFrame, origins: DataFrame, depth: int, visible: DataFrame
     return seen.where(F.col("depth") > 0)
 
 
+def truncated(found: DataFrame, hops: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
+    """(origin, reason, n): what a walk of ``depth`` hops left out. ``depth``: nodes of the last hop with further
+    neighbours not yet found; ``limit``: nodes beyond the ``limit`` first in order of depth and id."""
+    last = found.where(F.col("depth") == depth).select("origin", "id")
+    known = found.select("origin", "id").unionByName(found.select("origin", F.col("origin").alias("id"))).distinct()
+    onward = last.join(hops.select("id", "other_id"), "id").select("origin", F.col("id").alias("from_"), F.col("other_id").alias("id")).join(known, ["origin", "id"], "left_anti")
+    deep = onward.groupBy("origin").agg(F.count_distinct("from_").alias("n")).select("origin", F.lit("depth").alias("reason"), "n")
+    if limit is None:
+        return deep
+    over = found.groupBy("origin").agg((F.count(F.lit(1)) - limit).alias("n")).where(F.col("n") > 0).select("origin", F.lit("limit").alias("reason"), "n")
+    return deep.unionByName(over)
+
+
 def closure(links: DataFrame, origins: DataFrame, hops: int | None = 10) -> DataFrame:
     """(origin, id, depth): everything that follows from the origins along (id, other_id), hidden nodes included; without ``hops`` to the last."""
     frontier, seen = origins.select(F.col("id").alias("origin"), "id").distinct(), None

@@ -87,3 +87,64 @@ def noisy_or(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value)))
     logs = F.sum(F.when(x < 1, F.log1p(-x)))
     return rows.groupBy(*keys).agg(F.when(F.max(x) >= 1, 1.0).otherwise(1 - F.exp(F.coalesce(logs, F.lit(0.0)))).alias("score"))
+
+
+# fixed values: authority by method, and of the system of record
+AUTHORITY = {"observed": 80, "parsed": 60, "inferred": 40, "aggregated": 40, "generated": 20, "asserted": 20}
+SYSTEM_OF_RECORD = 100
+
+
+def declared_authority(method: Column, system_of_record: Column) -> Column:
+    """Authority of a statement by how it was come by; what the system of record itself shows ranks above all, what was
+    concluded or said does not gain by where it was said; unknown methods have none."""
+    table = F.create_map(*[x for k, v in AUTHORITY.items() for x in (F.lit(k), F.lit(v))])
+    return F.when(system_of_record & method.isin("observed", "parsed"), SYSTEM_OF_RECORD).otherwise(F.coalesce(F.try_element_at(table, method), F.lit(0))).cast("int")
+
+
+def completeness_of(read: Column, omitted: Column, listed: Column, ended: Column) -> Column:
+    """complete, partial or unknown from two signals. ``read`` and ``listed`` say whether a signal was given at all:
+    ``omitted`` is why content was left out (null: it was not), ``ended`` whether a listing came to its end (null: not known)."""
+    return (
+        F.when(~read & ~listed, "unknown").when(read & omitted.isNotNull(), "partial").when(listed & F.coalesce(~ended, F.lit(False)), "partial")
+        .when(listed & ended.isNull() & ~read, "unknown").otherwise("complete")
+    )
+
+
+def answers(entities: DataFrame, rows: DataFrame, claims: int = 20, citations: int = 3) -> DataFrame:
+    """(id, field_name, claim, citation, evidence_id, disputed, verdict): believed fields of each entity with their best evidence.
+
+    An entity that is not active is ``not-current``, one without believed evidence ``not-answerable``, a field in which
+    systems disagree ``ambiguous``. Nulls of ``field_name`` are a field of their own, named ''.
+    """
+    told = rows.where(F.col("evidence_state").isin("current", "conflicting")).select("subject_id", F.coalesce("field_name", F.lit("")).alias("field_name"), "evidence_id", "statement", "source_system", effective_authority(F.col("authority")).alias("auth"), F.coalesce("confidence", F.lit(-1.0)).alias("conf"))
+    fields = told.groupBy("subject_id", "field_name").agg(((F.count_distinct("statement") > 1) & (F.count_distinct("source_system") > 1)).alias("disputed"))
+    fields = fields.withColumn("claim", F.row_number().over(W.partitionBy("subject_id").orderBy("field_name"))).where(F.col("claim") <= claims)
+    best = F.row_number().over(W.partitionBy("subject_id", "field_name").orderBy(F.desc("auth"), F.desc("conf"), "evidence_id"))
+    cited = told.withColumn("citation", best).where(F.col("citation") <= citations).join(fields, ["subject_id", "field_name"])
+    out = entities.select("id", "lifecycle").join(cited.withColumnRenamed("subject_id", "id"), "id", "left")
+    verdict = F.when(F.col("lifecycle") != "active", "not-current").when(F.col("evidence_id").isNull(), "not-answerable").when(F.col("disputed"), "ambiguous").otherwise("answered")
+    return out.select("id", "field_name", "claim", "citation", "evidence_id", "disputed", verdict.alias("verdict"))
+
+
+def relation_index(rows: DataFrame) -> DataFrame:
+    """(relation, anchor, members): what a set of statements has to do with each other.
+
+    ``subject`` and ``path`` are groups of at least two; ``link`` counts, for each subject, the later ones it shares an
+    anchored path with (from an equi-join on distinct (path, subject) pairs); ``absent`` counts what says nothing.
+    """
+    path = F.get_json_object("locator", "$.path")
+    told = rows.select("subject_id", F.coalesce("permission_scope", F.lit("")).alias("scope"), path.alias("path"))
+    n = F.count(F.lit(1)).alias("members")
+    subjects = told.groupBy(F.col("subject_id").alias("anchor")).agg(n)
+    paths = told.where(F.col("path").isNotNull()).groupBy(F.concat_ws(":", "scope", "path").alias("anchor")).agg(n).where(F.col("members") > 1)
+    anchored = told.where(F.col("path").isNotNull()).distinct()
+    later = anchored.select("scope", "path", F.col("subject_id").alias("other"))
+    links = anchored.join(later, ["scope", "path"]).where(F.col("subject_id") < F.col("other")).groupBy(F.col("subject_id").alias("anchor")).agg(F.count_distinct("other").alias("members"))
+    silent = told.agg(F.count_if(F.col("path").isNull()).alias("members")).select(F.lit("no-path").alias("anchor"), "members")
+    alone = subjects.agg(F.count_if(F.col("members") == 1).alias("members")).select(F.lit("alone").alias("anchor"), "members")
+    parts = (("subject", subjects.where(F.col("members") > 1)), ("path", paths), ("link", links), ("absent", silent.unionByName(alone).where(F.col("members") > 0)))
+    out = None
+    for name, part in parts:
+        one = part.select(F.lit(name).alias("relation"), "anchor", "members")
+        out = one if out is None else out.unionByName(one)
+    return out

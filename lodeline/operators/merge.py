@@ -27,3 +27,17 @@ def unreferenced(rows: DataFrame, key: str, references: DataFrame, older: Column
     """Rows that nothing refers to, and that are old enough."""
     kept = rows if older is None else rows.where(older)
     return kept.join(references.select(key).distinct(), key, "left_anti")
+
+
+def prunable(target: str, rows: DataFrame, before: Column, condition: Column | None = None, keep_if: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """(target, held, doomed): how many rows there are, and how many retention would remove.
+
+    Doomed is what is older than ``before`` (column ``at``; without an age nothing is), meets the condition, and is
+    referred to by no row of ``keep_if`` (references, key).
+    """
+    doomed = (F.col("at") < before) & (F.lit(True) if condition is None else condition)
+    if keep_if is not None:
+        references, key = keep_if
+        rows = rows.join(references.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_kept", F.lit(True)), key, "left")
+        doomed = doomed & F.col("_kept").isNull()
+    return rows.agg(F.lit(target).alias("target"), F.count(F.lit(1)).alias("held"), F.count_if(doomed).alias("doomed"))

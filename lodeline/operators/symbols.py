@@ -16,6 +16,20 @@ def declarations(files: DataFrame) -> DataFrame:
     return found.select("file_id", "repo_id", "path", "nth", F.element_at(words, -2).alias("kind"), F.element_at(words, -1).alias("name"), F.col("head").startswith("export").alias("exported"))
 
 
+SIGNATURE = r"(?m)^[ \t]*((?:(?:export|default|declare|abstract|async)[ \t]+)*(?:function|class|interface|enum|def)[ \t]+[A-Za-z_$][A-Za-z0-9_$]*[^\n{]*)"
+_KEYWORDS = ("function", "class", "interface", "enum", "def")
+
+
+def signatures(files: DataFrame) -> DataFrame:
+    """(file_id, name, signature, modifiers array<string>) of every declaration, from the line that opens it."""
+    heads = files.where(F.col("text_content").isNotNull()).select("file_id", F.explode(F.regexp_extract_all("text_content", F.lit(SIGNATURE), F.lit(1))).alias("head"))
+    flat = F.trim(F.regexp_replace("head", F.lit(r"\s+"), F.lit(" ")))
+    words = F.split(flat, " ")
+    at = F.array_min(F.array_compact(F.array(*[F.nullif(F.array_position(words, k), F.lit(0)) for k in _KEYWORDS])))
+    name = F.regexp_extract(F.element_at(words, (at + 1).cast("int")), r"^([A-Za-z_$][A-Za-z0-9_$]*)", 1)
+    return heads.select("file_id", name.alias("name"), F.regexp_replace(flat, F.lit(r"[:;\s]+$"), F.lit("")).alias("signature"), F.slice(words, F.lit(1), (at - 1).cast("int")).alias("modifiers"))
+
+
 def overloads(symbols: DataFrame) -> DataFrame:
     """Adds ``overload``: how many declarations of the same name stand before it in the file."""
     w = W.partitionBy("file_id", "name").orderBy("nth")

@@ -11,21 +11,11 @@ from lodeline.operators import graph as G
 from lodeline.operators import intervals as V
 from lodeline.operators import retrieval as R
 from lodeline.operators import search as S
-from lodeline.plans.frames import EDGES, ENTITY, edges, entity, newest
+from lodeline.plans.frames import EDGES, ENTITY, edges, entity, newest, registrar
 from lodeline.plans.texts import LINE
 from lodeline.session import table
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLE, query = registrar()
 
 
 @query("""WITH c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events), t AS (SELECT user_id, event_id AS origin FROM c WHERE k = 1)
@@ -38,13 +28,6 @@ def session_lineage(spark, d):
     return G.closure(links, tips).select("origin", "id", F.col("depth").cast("int").alias("depth"))
 
 
-@query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END, ts DESC, event_id) AS rank FROM events QUALIFY rank <= 60""")
-def session_recover(spark, d):
-    kind = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "error", 1).otherwise(2)
-    w = W.partitionBy("user_id").orderBy(kind, F.desc("ts"), "event_id")
-    return table(spark, d, "events").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 60).select("user_id", "event_id", "rank")
-
-
 @query("SELECT repo_id, count(*) AS absent FROM (SELECT DISTINCT repo_id, unnest(parents) AS sha FROM commit_record) p WHERE NOT EXISTS (SELECT 1 FROM commit_record c WHERE c.repo_id = p.repo_id AND c.sha = p.sha) GROUP BY 1")
 def memory_evidence_gaps(spark, d):
     rows = table(spark, d, "commit_record")
@@ -70,78 +53,7 @@ def unfinished_runs(spark, d):
     return left.agg(F.count(F.lit(1)).alias("open_runs"), F.unix_micros(F.min("s").cast("timestamp")).alias("oldest_us"))
 
 
-@query("SELECT event_type, median(value) AS middle, bool_and(value >= 0) AS sound, count(*) FILTER (value > 50) AS high FROM events GROUP BY 1")
-def bench_score(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("middle"), F.bool_and(F.col("value") >= 0).alias("sound"), F.count_if(F.col("value") > 50).alias("high"))
-
-
-# ------------------------------------------------------------------ durable contexts: decisions stated in issues
-_NORMAL = r"regexp_replace(trim(regexp_replace(regexp_replace(lower(summary), '[,;:](\s|$)', '\1', 'g'), '\s+', ' ', 'g')), '[.!?;:,]+$', '')"
-_CONTEXT = rf"ctx AS (SELECT row_id, project_key, status, acquired_at, {_NORMAL} AS normal FROM jira_issue WHERE starts_with(lower(summary), 'we decided'))"
-
-
-def _contexts(spark, d):
-    rows = table(spark, d, "jira_issue").where(F.lower("summary").startswith("we decided"))
-    return rows.select("row_id", "project_key", "status", "acquired_at", X.normalise_statement(F.col("summary")).alias("normal"))
-
-
-@query(f"WITH {_CONTEXT} SELECT sha256('decision' || '|' || project_key || '|' || normal) AS id, count(*) AS merged, min(row_id)::BIGINT AS first_row FROM ctx GROUP BY project_key, normal")
-def context_merge(spark, d):
-    rows = _contexts(spark, d)
-    key = I.content_hash(F.concat_ws("|", F.lit("decision"), "project_key", "normal"))
-    return rows.groupBy(key.alias("id")).agg(F.count(F.lit(1)).alias("merged"), F.min("row_id").cast("long").alias("first_row"))
-
-
-@query(f"WITH {_CONTEXT} SELECT row_id, project_key FROM ctx WHERE status NOT IN ('Done', 'Closed') ORDER BY acquired_at DESC, row_id LIMIT 200")
-def context_current(spark, d):
-    rows = _contexts(spark, d).where(~F.col("status").isin("Done", "Closed")).orderBy(F.desc("acquired_at"), "row_id").limit(200)
-    return rows.select("row_id", "project_key")
-
-
-@query(f"WITH {_CONTEXT} SELECT project_key, count(DISTINCT normal) AS statements, count(DISTINCT normal) > 1 AS disputed, count(*) AS support FROM ctx GROUP BY 1")
-def context_trust(spark, d):
-    rows = _contexts(spark, d).groupBy("project_key")
-    n = F.count_distinct("normal")
-    return rows.agg(n.alias("statements"), (n > 1).alias("disputed"), F.count(F.lit(1)).alias("support"))
-
-
-@query("""WITH o AS (SELECT *, lag(change_action) OVER (PARTITION BY entity_id ORDER BY changed_at, change_id) AS before FROM (SELECT * FROM lifecycle_change QUALIFY row_number() OVER (PARTITION BY entity_id, changed_at, change_action ORDER BY change_id) = 1))
-SELECT entity_id, change_id, CASE WHEN before IS DISTINCT FROM change_action AND NOT (before IS NULL AND change_action = 'reinstate') THEN 'applied' ELSE 'refused' END AS outcome FROM o""")
-def context_lifecycle(spark, d):
-    rows = table(spark, d, "lifecycle_change")
-    once = rows.groupBy("entity_id", "changed_at", "change_action").agg(F.min("change_id").alias("change_id"))
-    before = F.lag("change_action").over(W.partitionBy("entity_id").orderBy("changed_at", "change_id"))
-    marked = once.withColumn("before", before)
-    allowed = ~F.col("before").eqNullSafe(F.col("change_action")) & ~(F.col("before").isNull() & (F.col("change_action") == "reinstate"))
-    return marked.select("entity_id", "change_id", F.when(allowed, "applied").otherwise("refused").alias("outcome"))
-
-
-@query(f"WITH {ENTITY} SELECT id, CASE WHEN lifecycle IN ('superseded', 'deleted') THEN 'refused' WHEN source_system = 'jira' THEN 'active' ELSE 'candidate' END AS plan FROM entity WHERE kind = 'issue' OR kind = 'pull_request'")
-def promotion_plan(spark, d):
-    rows = entity(spark, d).where(F.col("kind").isin("issue", "pull_request"))
-    plan = F.when(F.col("lifecycle").isin("superseded", "deleted"), "refused").when(F.col("source_system") == "jira", "active").otherwise("candidate")
-    return rows.select("id", plan.alias("plan"))
-
-
-@query(f"WITH {ENTITY} SELECT id, row_number() OVER (PARTITION BY kind ORDER BY lifecycle <> 'active', observed_at DESC, id) AS rank FROM entity QUALIFY rank <= 10")
-def standing_order(spark, d):
-    w = W.partitionBy("kind").orderBy(F.col("lifecycle") != "active", F.desc("observed_at"), "id")
-    return entity(spark, d).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 10).select("id", "rank")
-
-
 # ------------------------------------------------------------------ planning, vectors, edges
-@query(f"""WITH {ENTITY}, x AS (SELECT id, 'exact' AS strategy FROM entity WHERE id = '{LINE}' OR attributes->>'$.path' = '{LINE}' OR source_id = '{LINE}'),
-t AS (SELECT id, 'text' AS strategy FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', attributes->>'$.title', attributes->>'$.path')), '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS w FROM entity) WHERE w IN ('session', 'token') GROUP BY id)
-SELECT * FROM x UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM x)""")
-def planned_search(spark, d):
-    rows = entity(spark, d)
-    exact = rows.where((F.col("id") == LINE) | (R.attribute("path") == LINE) | (F.col("source_id") == LINE)).select("id", F.lit("exact").alias("strategy"))
-    if exact.take(1):  # an exact answer ends the plan
-        return exact
-    hits = S.search(rows, "id", F.concat_ws(" ", R.attribute("title"), R.attribute("path")), S.relaxed(S.parse(LINE)))
-    return hits.select("id", F.lit("text").alias("strategy"))
-
-
 @query("""WITH n AS (SELECT vec_id, label + 1 AS label FROM embeddings WHERE label < 3 UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE label = 9)
 SELECT coalesce(o.vec_id, n.vec_id) AS vec_id, coalesce(n.label, o.label)::INT AS label, n.vec_id IS NOT NULL AS written FROM embeddings o FULL JOIN n ON o.vec_id = n.vec_id""")
 def embedding_upsert(spark, d):

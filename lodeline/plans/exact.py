@@ -7,26 +7,14 @@ from pyspark.sql import functions as F
 from lodeline.functions import identity as I
 from lodeline.operators import access as A
 from lodeline.operators import retrieval as R
-from lodeline.plans.frames import ENTITY, EVIDENCE, entity, evidence
+from lodeline.plans.frames import ENTITY, EVIDENCE, entity, evidence, registrar
 from lodeline.session import table
 
 GRANTS = ("repo-00000", "repo-00003")
 ACCESS = A.Access(grants=GRANTS)
 RULES = (A.Exclusion("docs/**"), A.Exclusion("*.md", "2021-06-01 00:00:00"), A.Exclusion("tests"))
 _GRANT_SQL = "(source_scope IS NULL OR source_scope IN ('repo-00000', 'repo-00003') OR source_scope LIKE 'repo-00000:%' OR source_scope LIKE 'repo-00003:%')"
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with the SQL that checks it."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLE, query = registrar()
 
 
 @query(f"WITH {ENTITY} SELECT id, kind, source_id, lifecycle FROM entity WHERE kind IN ('file', 'issue') AND lifecycle = 'active' AND {_GRANT_SQL}")

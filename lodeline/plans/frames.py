@@ -10,6 +10,22 @@ from lodeline.session import table
 ENTITY_COLUMNS = ("kind", "canonical_key", "schema_version", "source_system", "source_id", "source_scope", "lifecycle", "attributes", "content_hash")
 
 
+def registrar():
+    """(queries, SQL, decorator): the decorator keeps a query under its name, with the SQL that checks it."""
+    queries, oracle = {}, {}
+
+    def query(sql: str | None = None):
+        def keep(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                oracle[f.__name__] = sql
+            return f
+
+        return keep
+
+    return queries, oracle, query
+
+
 def newest(df: DataFrame, keys: list[str], order: list, keep: list[str]) -> DataFrame:
     """The last row of each key: one hash aggregate with a map-side part, no sort of whole groups."""
     row = F.max_by(F.struct(*keep), F.struct(*order))

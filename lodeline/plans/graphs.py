@@ -9,20 +9,10 @@ from lodeline.operators import graph as G
 from lodeline.operators import intervals as V
 from lodeline.operators import ledger as L
 from lodeline.operators import retrieval as R
-from lodeline.plans.frames import EDGES, ENTITY, EVIDENCE, edges, entity, evidence, newest
+from lodeline.plans.frames import EDGES, ENTITY, EVIDENCE, edges, entity, evidence, newest, registrar
 from lodeline.session import table
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLE, query = registrar()
 
 
 def us(col):
@@ -89,20 +79,6 @@ def effective_authority(spark, d):
     return evidence(spark, d).select("evidence_id", L.effective_authority(F.col("authority")).cast("int").alias("effective"))
 
 
-@query(f"""WITH {EVIDENCE}, {ENTITY}, a AS (SELECT evidence_id, subject_id, locator->>'$.path' AS path FROM evidence)
-SELECT evidence_id, CASE WHEN path IS NULL THEN 'unanchored' WHEN e.id IS NULL THEN 'unknown' WHEN e.lifecycle IN ('deleted', 'superseded') THEN 'superseded' WHEN e.attributes->>'$.path' IS NOT DISTINCT FROM path THEN 'verified' ELSE 'stale' END AS verdict
-FROM a LEFT JOIN entity e ON e.id = a.subject_id""")
-def anchor_verdict(spark, d):
-    anchors = evidence(spark, d).select("evidence_id", F.col("subject_id").alias("id"), F.get_json_object("locator", "$.path").alias("anchor"))
-    now = entity(spark, d).select("id", "lifecycle", R.attribute("path").alias("path"), F.lit(True).alias("known"))
-    both = anchors.join(now, "id", "left")
-    verdict = (
-        F.when(F.col("anchor").isNull(), "unanchored").when(F.col("known").isNull(), "unknown").when(F.col("lifecycle").isin("deleted", "superseded"), "superseded")
-        .when(F.col("path").eqNullSafe(F.col("anchor")), "verified").otherwise("stale")
-    )
-    return both.select("evidence_id", verdict.alias("verdict"))
-
-
 @query(f"WITH {EVIDENCE} SELECT locator->>'$.path' AS path, permission_scope AS scope, count(*) AS statements FROM evidence WHERE locator->>'$.path' IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2")
 def anchor_groups(spark, d):
     rows = evidence(spark, d).select(F.get_json_object("locator", "$.path").alias("path"), F.col("permission_scope").alias("scope")).where(F.col("path").isNotNull())
@@ -253,7 +229,3 @@ def symbol_reconcile(spark, d):
     return flags.select("repo_id", "path", outcome.alias("outcome"))
 
 
-@query("SELECT ref_name, sum(n)::BIGINT AS n, max(last_no)::BIGINT AS last_no FROM (SELECT repo_id, ref_name, count(*) AS n, max(snapshot_no) AS last_no FROM branch_snapshot GROUP BY 1, 2) GROUP BY 1")
-def current_versions(spark, d):
-    rows = table(spark, d, "branch_snapshot").groupBy("ref_name")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.max("snapshot_no").cast("long").alias("last_no"))

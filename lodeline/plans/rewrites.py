@@ -12,22 +12,12 @@ from lodeline.operators import graph as G
 from lodeline.operators import ledger as L
 from lodeline.operators import merge as U
 from lodeline.operators import symbols as Y
-from lodeline.plans.frames import ENTITY, EVIDENCE, entity, evidence, newest
+from lodeline.plans.frames import ENTITY, EVIDENCE, entity, evidence, newest, registrar
 from lodeline.session import table
 from lodeline.sources.files import markdown_segments as segments
 from lodeline.streaming import events as E
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLE, query = registrar()
 
 
 CUT = "2022-01-01 00:00:00"
@@ -83,19 +73,6 @@ def prune_evidence(spark, d):
     return U.unreferenced(rows, "subject_id", rows.where(F.col("evidence_state") == "current"), old).select("evidence_id")
 
 
-@query("SELECT 'evidence' AS target, count(*) FILTER (evidence_state IN ('superseded', 'stale')) AS doomed, count(*) AS n FROM evidence_record UNION ALL SELECT 'entities', count(*) FILTER (lifecycle = 'archived'), count(*) FROM entity_update")
-def prune_plan(spark, d):
-    a = table(spark, d, "evidence_record").agg(F.lit("evidence").alias("target"), F.count_if(F.col("evidence_state").isin("superseded", "stale")).alias("doomed"), F.count(F.lit(1)).alias("n"))
-    b = table(spark, d, "entity_update").agg(F.lit("entities").alias("target"), F.count_if(F.col("lifecycle") == "archived").alias("doomed"), F.count(F.lit(1)).alias("n"))
-    return a.unionByName(b)
-
-
-@query("SELECT repo_id, max(committed_at) AS last_commit, count(DISTINCT sha) AS tips FROM commit_record WHERE committed_at <= '2024-01-01T00:00:00Z' GROUP BY 1")
-def watermark(spark, d):
-    rows = table(spark, d, "commit_record").where(F.col("committed_at") <= "2024-01-01T00:00:00Z").groupBy("repo_id")
-    return rows.agg(F.max("committed_at").alias("last_commit"), F.count_distinct("sha").alias("tips"))
-
-
 @query("SELECT user_id, event_id, epoch_us(ts) AS at_us FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_checkpoint(spark, d):
     last = newest(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], ["event_id", "ts"])
@@ -107,25 +84,6 @@ def latest_status(spark, d):
     return newest(table(spark, d, "jira_issue"), ["site_id", "issue_id"], [F.col("acquired_at"), F.col("row_id")], ["status"])
 
 
-@query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM events")
-def previous_release(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("previous"))
-
-
-@query(r"""WITH l AS (SELECT row_id, unnest(string_split(summary || chr(10) || coalesce(description, ''), chr(10))) AS line FROM jira_issue)
-SELECT row_id, CASE WHEN regexp_matches(line, '(?i)^(?:DECISION|DECIDED):\s*\S') OR regexp_matches(line, '(?i)^(?:we|i)\s+(?:decided|have decided|chose|went with)\s+[^\n]{3,}$') THEN 'decision'
-WHEN regexp_matches(line, '(?i)^(?:never|always|do not|don''t)\s+[^\n]{3,}?\s+because\s+[^\n]{3,}$') THEN 'constraint' WHEN regexp_matches(line, '^(?:TODO|NEXT):\s*\S') THEN 'next_step' END AS kind, count(*) AS n FROM l WHERE kind IS NOT NULL GROUP BY 1, 2""")
-def extract_memories(spark, d):
-    rows = table(spark, d, "jira_issue").select("row_id", F.explode(F.split(F.concat_ws("\n", "summary", F.coalesce("description", F.lit(""))), "\n")).alias("line"))
-    line = F.col("line")
-    kind = (
-        F.when(line.rlike(r"(?i)^(?:DECISION|DECIDED):\s*\S") | line.rlike(r"(?i)^(?:we|i)\s+(?:decided|have decided|chose|went with)\s+[^\n]{3,}$"), "decision")
-        .when(line.rlike(r"(?i)^(?:never|always|do not|don't)\s+[^\n]{3,}?\s+because\s+[^\n]{3,}$"), "constraint").when(line.rlike(r"^(?:TODO|NEXT):\s*\S"), "next_step")
-    )
-    return rows.select("row_id", kind.alias("kind")).where(F.col("kind").isNotNull()).groupBy("row_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 _DECL = r"""decl AS (SELECT file_id, repo_id, path, g.i - 1 AS nth, string_split(regexp_replace(heads[g.i], '[ \t]+', ' ', 'g'), ' ') AS w, heads[g.i] AS head FROM
 (SELECT file_id, repo_id, path, regexp_extract_all(text_content, '(?m)^[ \t]*((?:export[ \t]+)?(?:async[ \t]+)?(?:function|class|interface|enum|type|const|def)[ \t]+[A-Za-z_$][A-Za-z0-9_$]*)', 1) AS heads FROM source_file WHERE text_content IS NOT NULL) f, unnest(generate_series(1, len(heads))) AS g(i)),
 sym AS (SELECT file_id, repo_id, path, nth, w[-2] AS kind, w[-1] AS name, starts_with(head, 'export') AS exported FROM decl)"""
@@ -141,11 +99,6 @@ def symbol_overload(spark, d):
     return Y.overloads(Y.declarations(table(spark, d, "source_file"))).select("file_id", "name", "nth", F.col("overload").cast("int").alias("overload"))
 
 
-@query(f"WITH {_DECL} SELECT kind, exported, count(*) AS n, count(DISTINCT name) AS names FROM sym GROUP BY 1, 2")
-def symbol_signature(spark, d):
-    return Y.declarations(table(spark, d, "source_file")).groupBy("kind", "exported").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names"))
-
-
 @query(rf"""WITH {_DECL}, r AS (SELECT DISTINCT file_id, repo_id, unnest(regexp_extract_all(text_content, '(?m)^import \{{ ([A-Za-z0-9_$]+) \}}', 1)) AS name FROM source_file WHERE text_content IS NOT NULL),
 u AS (SELECT repo_id, name, min(file_id) AS only_file FROM sym GROUP BY 1, 2 HAVING count(DISTINCT file_id) = 1), l AS (SELECT DISTINCT file_id, name FROM sym)
 SELECT r.file_id, r.name, CASE WHEN l.file_id IS NOT NULL THEN r.file_id ELSE only_file END AS target_file, CASE WHEN l.file_id IS NOT NULL THEN 'local' WHEN only_file IS NOT NULL THEN 'unique' ELSE 'unresolved' END AS how
@@ -156,86 +109,17 @@ def resolve_references(spark, d):
     return Y.resolve(refs, Y.declarations(files))
 
 
-_OUTLINE = [("d", i, lv, t) for i, (lv, t) in enumerate([(1, "a"), (2, "b"), (3, "c"), (2, "d"), (4, "e"), (1, "f"), (3, "g")])]
-
-
-@query("SELECT t AS title, p AS parent FROM (VALUES ('a', NULL), ('b', 'a'), ('c', 'b'), ('d', 'a'), ('e', 'd'), ('f', NULL), ('g', 'f')) v(t, p)")
-def outline_parent(spark, d):
-    rows = spark.createDataFrame(_OUTLINE, "doc string, line_no int, level int, title string")
-    return Y.parents_by_level(rows, ["doc"], "line_no", "level", "title").select("title", "parent")
-
-
 @query()
 def markdown_segments(spark, d):
     return segments(table(spark, d, "documents"), "doc_id", "text")
 
 
-_HTML = "<h1>A &amp; b</h1><p class='x'> c <b>d</b></p><ul><li>e</li></ul><p></p>"
-
-
-@query("SELECT unnest(['A & b', 'c d', 'e']) AS block")
-def html_blocks(spark, d):
-    return spark.createDataFrame([(_HTML,)], "html string").select(F.explode(X.html_blocks(F.col("html"))).alias("block"))
-
-
-@query("SELECT repo_id, arg_max(author_email, (acquired_at, row_id)) AS author FROM commit_record WHERE acquired_at <= TIMESTAMP '2021-06-01' AND author_email IS NOT NULL GROUP BY 1")
-def alias_as_of(spark, d):
-    rows = table(spark, d, "commit_record").where((F.col("acquired_at") <= F.lit("2021-06-01 00:00:00").cast("timestamp_ntz")) & F.col("author_email").isNotNull())
-    return rows.groupBy("repo_id").agg(F.max_by("author_email", F.struct("acquired_at", "row_id")).alias("author"))
-
-
-@query("SELECT author_email, count(DISTINCT site_id) AS sites FROM commit_record WHERE author_email IS NOT NULL GROUP BY 1 HAVING count(DISTINCT site_id) > 1")
-def identity_collisions(spark, d):
-    rows = table(spark, d, "commit_record").where(F.col("author_email").isNotNull()).groupBy("author_email").agg(F.count_distinct("site_id").alias("sites"))
-    return rows.where(F.col("sites") > 1)
-
-
-@query("SELECT author_email, coalesce(CASE split_part(author_email, '@', 2) WHEN 'dev.example' THEN split_part(author_email, '@', 1) || '@mail.example' END, author_email) AS proper, count(*) AS n FROM commit_record WHERE author_email IS NOT NULL GROUP BY 1, 2")
-def mailmap(spark, d):
-    mails = table(spark, d, "commit_record").where(F.col("author_email").isNotNull())
-    rules = mails.select("author_email").distinct().where(F.col("author_email").endswith("@dev.example") & (F.size(F.split("author_email", "@")) == 2))
-    rules = rules.select("author_email", F.concat(F.substring_index("author_email", "@", 1), F.lit("@mail.example")).alias("proper"))
-    return mails.join(rules, "author_email", "left").groupBy("author_email", F.coalesce("proper", "author_email").alias("proper")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"WITH {EVIDENCE} SELECT evidence_id, CASE method WHEN 'observed' THEN 100 WHEN 'parsed' THEN 80 WHEN 'asserted' THEN 60 WHEN 'inferred' THEN 40 WHEN 'aggregated' THEN 20 ELSE 0 END::INT AS declared FROM evidence")
-def authority_for(spark, d):
-    m = F.col("method")
-    rank = F.when(m == "observed", 100).when(m == "parsed", 80).when(m == "asserted", 60).when(m == "inferred", 40).when(m == "aggregated", 20).otherwise(0)
-    return evidence(spark, d).select("evidence_id", rank.alias("declared"))
-
-
-@query(f"WITH {EVIDENCE} SELECT subject_id, CASE WHEN bool_and(completeness = 'complete') THEN 'complete' WHEN bool_or(completeness <> 'unknown') THEN 'partial' ELSE 'unknown' END AS completeness FROM evidence GROUP BY 1")
-def completeness(spark, d):
-    rows = evidence(spark, d).groupBy("subject_id")
-    verdict = F.when(F.bool_and(F.col("completeness") == "complete"), "complete").when(F.bool_or(F.col("completeness") != "unknown"), "partial").otherwise("unknown")
-    return rows.agg(verdict.alias("completeness"))
-
-
 @query()
 def budget_admit(spark, d):
     rows = table(spark, d, "documents").where(F.col("source").isNotNull()).select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("cost"))
     return M.admit(rows, ["source"], "doc_id", "cost", 4000)
 
 
-@query(f"""WITH {EVIDENCE}, {ENTITY}, b AS (SELECT *, CASE WHEN authority = 0 THEN 30 ELSE authority END AS auth FROM evidence WHERE evidence_state IN ('current', 'conflicting'))
-SELECT e.id, e.kind, b.evidence_id, row_number() OVER (PARTITION BY e.id ORDER BY auth DESC, coalesce(confidence, -1) DESC, evidence_id) AS citation FROM entity e JOIN b ON b.subject_id = e.id WHERE e.lifecycle = 'active' QUALIFY citation <= 3""")
-def answer_claims(spark, d):
-    rows = evidence(spark, d).where(F.col("evidence_state").isin("current", "conflicting")).select(F.col("subject_id").alias("id"), "evidence_id", L.effective_authority(F.col("authority")).alias("auth"), F.coalesce("confidence", F.lit(-1.0)).alias("conf"))
-    w = W.partitionBy("id").orderBy(F.desc("auth"), F.desc("conf"), "evidence_id")
-    best = rows.withColumn("citation", F.row_number().over(w)).where(F.col("citation") <= 3)
-    live = entity(spark, d).where(F.col("lifecycle") == "active").select("id", "kind")
-    return best.join(live, "id").select("id", "kind", "evidence_id", "citation")
-
-
-@query(f"WITH {EVIDENCE} SELECT 'subject' AS relation, subject_id AS anchor, count(*) AS members FROM evidence GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'path', locator->>'$.path', count(*) FROM evidence WHERE locator->>'$.path' IS NOT NULL GROUP BY 2 HAVING count(*) > 1")
-def relation_index(spark, d):
-    rows = evidence(spark, d).select("subject_id", F.get_json_object("locator", "$.path").alias("path"))
-    a = rows.groupBy(F.col("subject_id").alias("anchor")).agg(F.count(F.lit(1)).alias("members")).withColumn("relation", F.lit("subject"))
-    b = rows.where(F.col("path").isNotNull()).groupBy(F.col("path").alias("anchor")).agg(F.count(F.lit(1)).alias("members")).withColumn("relation", F.lit("path"))
-    return a.unionByName(b).where(F.col("members") > 1).select("relation", "anchor", "members")
-
-
 @query("""WITH i AS (SELECT site_id || ' ' || issue_key AS id, 'issue' AS kind, true AS known FROM jira_issue), p AS (SELECT site_id || ' ' || project_key AS id, 'project' AS kind, false AS known FROM jira_issue), r AS (SELECT reporter AS id, 'actor' AS kind, false AS known FROM jira_issue WHERE reporter IS NOT NULL)
 SELECT id, kind, bool_or(known) AS known, count(*) AS mentions FROM (SELECT * FROM i UNION ALL SELECT * FROM p UNION ALL SELECT * FROM r) GROUP BY 1, 2""")
 def model_project(spark, d):
