@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "exact", "graphs", "texts", "rewrites", "contexts", "people", "standing")
+MODULES = ("problems", "exact", "graphs", "texts", "rewrites", "contexts", "people", "standing", "inputs")
 
 
 def _collect(what: str) -> dict:

@@ -14,7 +14,6 @@ from lodeline.operators import merge as U
 from lodeline.operators import symbols as Y
 from lodeline.plans.frames import ENTITY, EVIDENCE, entity, evidence, newest, registrar
 from lodeline.session import table
-from lodeline.sources.files import markdown_segments as segments
 from lodeline.streaming import events as E
 
 QUERIES, ORACLE, query = registrar()
@@ -109,11 +108,6 @@ def resolve_references(spark, d):
     return Y.resolve(refs, Y.declarations(files))
 
 
-@query()
-def markdown_segments(spark, d):
-    return segments(table(spark, d, "documents"), "doc_id", "text")
-
-
 @query()
 def budget_admit(spark, d):
     rows = table(spark, d, "documents").where(F.col("source").isNotNull()).select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("cost"))

@@ -136,19 +136,32 @@ def test_greedy_admission_goes_on_to_the_last_row(spark):
 
 def test_query_lines():
     q = S.parse('Alpha "two words" -gone or')
-    assert (q.words, q.phrases, q.excluded, q.any_of) == (("alpha",), (("two", "words"),), ("gone",), True)
-    assert S.relaxed(S.parse("a1b c2d")).any_of and not S.relaxed(S.parse("abc -def")).any_of
-    assert S.parse('"').words == ()
+    assert (q.groups, q.excluded) == (((("alpha",),), (("two", "word"),)), (("gone",),))
+    assert S.parse("a1b or c2d tests").groups == ((("a1b",), ("c2d",)), (("test",),))
+    assert S.relaxed(S.parse("a1b c2d")).groups == ((("a1b",), ("c2d",)),) and S.relaxed(S.parse("abc -def")) == S.parse("abc -def")
+    assert S.parse('"').groups == () and S.parse("").terms == () and S.parse("the of").groups == ()
+
+
+def test_lexemes_are_the_same_in_both_places(spark):
+    for text in ("Classes indexing tried buses gas status", "Состояние 状態を保持 abc状態", "the a9 É_x", ""):
+        assert one(spark, text, S.tokens) == S.lexemes_of(text), text
 
 
 def test_text_functions(spark):
     assert one(spark, "", lambda v: X.estimate_tokens(v)) == 0 and one(spark, "ab cd", lambda v: X.estimate_tokens(v)) == 3
     assert one(spark, "a\r\nb\nc", lambda v: X.line_stats(v)["ending"]) == "mixed"
-    assert one(spark, "Fixes #12 prefix #3 closes: o/r#4", X.closing_references) == ["Fixes #12", "closes: o/r#4"]
-    assert one(spark, "ABC-12 xABC-12 AB-1-2 o/r#5", X.text_references) == ["ABC-12", "o/r#5"]
+    assert one(spark, "Fixes #12 prefix #3 closes: o/r#4", X.closing_references) == ["#12", "o/r#4"]
+    refs = one(spark, "fixes ABC-12 xABC-12 AB-1-2 o/r#5", lambda v: X.text_references(v, "issue"))
+    assert [(r["ref"], r["closing"]) for r in refs] == [("ABC-12", True)]
+    assert [r["ref"] for r in one(spark, "see o/r#5", lambda v: X.text_references(v, "number"))] == ["o/r#5"]
     assert one(spark, "<h1>A &amp; b</h1><p> c <b>d</b></p><p></p>", X.html_blocks) == ["A & b", "c d"]
     assert [one(spark, v, X.classify_query) for v in ("b9559ab", "abc123", "src/main.ts", "changes in src/main.ts")] == ["object", "prose", "path", "prose"]
     assert one(spark, "u+tag@Mail.example", X.normalise_address) == "u@mail.example"
+    assert one(spark, "5+octo@users.noreply.github.com", X.login_of) == "octo" and one(spark, "a@b.example", X.login_of) is None
+    assert one(spark, "https://u:pw@h/x?token=abc&n=1", X.redact_log) == "https://u:[redacted]@h/x?token=[redacted]&n=1"
+    assert one(spark, "one two session three", lambda v: S.highlight(v, ("session",), 3)) == "two [session] three"
+    assert one(spark, "DECISION: use X", X.memory_of).asDict() == {"kind": "decision", "origin": "explicit", "confidence": 0.95, "statement": "use X"}
+    assert one(spark, "TODO:", X.memory_of) is None
 
 
 def test_nearest_takes_the_lowest_ids_of_equal_scores(spark):
