@@ -3,9 +3,10 @@
 Method: cross-parsing entropy. For each language a suffix automaton is built over labelled text; a line is cut greedily
 into the longest phrases that occur in a language's text, and the language that needs the fewest phrases for its
 length wins. Confidence is how much fewer they are than the runner-up's. The automata are fitted on a bounded sample
-of labelled rows (``SAMPLE_DOCS`` documents a label, ``SAMPLE_CHARS`` characters each, ``TEXT_CHARS`` characters of
-distinct sentences a language); sentences whose label does not survive a vote and a cross-check between two halves of
-the sample are left out, so wrong labels do not teach. Every document is then judged whole.
+of labelled rows (``SAMPLE_DOCS`` documents a label of at most ``SAMPLE_CHARS`` characters each, taken whole; a model holds
+``TEXT_CHARS`` characters of distinct sentences a language); sentences in a script the language is hardly written in,
+and those whose label does not survive a vote and a cross-check between two halves of the sample are left out, so wrong
+labels do not teach. Every document is then judged whole.
 
 Defined cases: null and empty texts and texts without natural language have no segments; lines without natural
 language (blank, fenced or indented code, links, tables, ids) belong to the segment before them, at the start to the
@@ -227,6 +228,31 @@ def _texts(votes: dict[str, Counter]) -> dict[str, str]:
     return out
 
 
+#: Share of a language's sentences that a script needs to be one the language is written in.
+SCRIPT_SHARE = 0.2
+_SCRIPTS = (("east", re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")), ("latin", re.compile(r"[A-Za-z\u00c0-\u024f]")), ("cyrillic", re.compile(r"[\u0400-\u04ff]")), ("greek", re.compile(r"[\u0370-\u03ff]")), ("arabic", re.compile(r"[\u0600-\u06ff]")), ("indic", re.compile(r"[\u0900-\u097f]")))
+
+
+def _script(sentence: str) -> str:
+    """The script most letters of a sentence belong to."""
+    return max(_SCRIPTS, key=lambda s: len(s[1].findall(sentence)))[0]
+
+
+def _in_own_script(votes: dict[str, Counter]) -> dict[str, Counter]:
+    """The votes without those for languages that are hardly ever written in the sentence's script."""
+    scripts = {s: _script(s) for s in votes}
+    seen: dict[str, Counter] = defaultdict(Counter)
+    for s, labels in votes.items():
+        for code, n in labels.items():
+            seen[code][scripts[s]] += n
+    out = {}
+    for s, labels in votes.items():
+        kept = Counter({c: n for c, n in labels.items() if seen[c][scripts[s]] >= SCRIPT_SHARE * seen[c].total()})
+        if kept:
+            out[s] = kept
+    return out
+
+
 def fit(sample: list[tuple[str, str]]) -> dict[str, str]:
     """Text of each language from (text, code) rows, without what their labels got wrong."""
     votes: dict[str, Counter] = defaultdict(Counter)
@@ -234,6 +260,7 @@ def fit(sample: list[tuple[str, str]]) -> dict[str, str]:
         for line in lines_of(text):
             for s in line:
                 votes[s][code] += 1
+    votes = _in_own_script(votes)
     for _ in range(2):
         # few votes: each sentence is judged by automata that never saw it, so that no wrong label can vouch for itself
         halves = [{s: c for s, c in votes.items() if zlib.crc32(s.encode()) % 2 == k} for k in (0, 1)]
@@ -254,12 +281,12 @@ def fit(sample: list[tuple[str, str]]) -> dict[str, str]:
 
 
 def labelled_sample(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most ``docs`` (text, code) rows a language, picked by a hash of the id, of at most ``chars`` characters each."""
+    """At most ``docs`` (text, code) rows a language, picked by a hash of the id among those of at most ``chars`` characters."""
     names = F.create_map(*[x for name, code in _NAMES.items() for x in (F.lit(name), F.lit(code))])
     word = F.lower(F.trim("lang"))
     code = F.coalesce(F.try_element_at(names, word), F.try_element_at(names, F.regexp_extract(word, r"^[^-_ (/.@]*", 0)))
-    rows = documents.select(F.xxhash64("doc_id").alias("h"), "doc_id", code.alias("code"), F.substring("text", 1, chars).alias("text"))
-    rows = rows.where(F.col("code").isNotNull() & (F.length("text") > 0))
+    rows = documents.select(F.xxhash64("doc_id").alias("h"), "doc_id", code.alias("code"), "text")
+    rows = rows.where(F.col("code").isNotNull() & F.length("text").between(1, chars))
     w = W.partitionBy("code").orderBy("h", "doc_id")
     best = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= docs)
     return [(r["text"], r["code"]) for r in sorted(best.collect(), key=lambda r: (r["code"], r["nth"]))]
