@@ -8,8 +8,11 @@ laid out in a seeded order, pass after pass, and its quota takes them from the f
 The largest total at which every source can deliver its share within its repeats is the default. Sums run over
 (source, hash range) and only then over ranges, so no source is ever in one task.
 
+A partial pass is cut where the first document does not fit, and what is left is filled from a bounded choice of shorter
+ones, so the number of jobs is fixed.
+
 Defined cases: null and empty texts, null sources and sources without a target take no part; targets without any
-document or with a share of 0 get 0 blocks, and the other shares keep their proportions; documents
+document, with a share of 0 or with 0 repeats get 0 blocks, a null cap counts as 1, and the other shares keep their proportions; documents
 are taken whole, one that does not fit into what is left of a quota is passed over for shorter ones behind it, and a
 source ends less than one block below its quota unless no document is short enough; no quota is exceeded; equal hashes are ordered by ``doc_id``; empty tables give an empty mix; further columns are ignored.
 """
@@ -86,45 +89,69 @@ def _starts(rows: DataFrame, name: str) -> DataFrame:
     return inside.join(before, ["source", "range_no"]).withColumn(name, F.col("before") + F.col("inside")).drop("before", "inside")
 
 
-def _fill(laid: DataFrame, gaps: dict[str, int], done: dict[str, int], passes: dict[str, int], most: dict[str, int], block: int) -> DataFrame | None:
-    """Documents of partial passes: (source, doc_id, tokens, pass_no, at). Each round takes, in seeded order, what fits
-    into the room left, up to the first that does not; the next goes on behind it with those that are short enough; where a pass ends early for want of those, the next one repeats them."""
-    spark, after, parts = laid.sparkSession, dict.fromkeys(gaps, -1), []
-    live = [s for s, g in gaps.items() if g > 0 and passes[s] <= most[s]]
-    while live:
-        state = spark.createDataFrame([(s, gaps[s], after[s], done[s], passes[s]) for s in live], "source string, gap long, after long, done long, pass_no long")  # one row a target
-        fits = laid.join(F.broadcast(state), "source").where((F.col("start") > F.col("after")) & (F.col("tokens") <= F.col("gap")))
-        fits = cut(_starts(fits, "ahead").where(F.col("ahead") < F.col("gap")))
-        taken = F.col("ahead") + F.col("tokens") <= F.col("gap")
-        parts.append(fits.where(taken).select("source", "doc_id", "tokens", "pass_no", (F.col("done") + F.col("ahead")).alias("at")))
-        sums = fits.groupBy("source").agg(F.coalesce(F.sum(F.when(taken, F.col("tokens"))), F.lit(0)).alias("n"), F.min(F.when(~taken, F.col("start"))).alias("stop"))
-        found = {r["source"]: r for r in sums.collect()}
-        live, tried = [], live
-        for s in tried:
-            r = found.get(s) or {"n": 0, "stop": None}
-            if s not in found and after[s] == -1:
-                continue  # no document of the source is short enough
-            gaps[s], done[s], after[s] = gaps[s] - r["n"], done[s] + r["n"], r["stop"]
-            if gaps[s] < block:
-                continue
-            if r["stop"] is None:  # nothing behind is short enough: once more from the front
-                after[s], passes[s] = -1, passes[s] + 1
-            if passes[s] <= most[s]:
-                live.append(s)
-    out = None
-    for part in parts:
-        out = part if out is None else out.unionByName(part)
+#: Size classes (powers of two) and documents of each class that fill the last room of a source.
+CLASSES, SMALLEST = 40, 8
+
+
+def _short_ones(laid: DataFrame, behind: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """The SMALLEST documents (tokens, start, doc_id) of each size class of each source behind a place in its order.
+
+    At most SMALLEST * CLASSES rows a source, whatever its size; a document of the class below the room left always fits,
+    and two or three of a class use up what the class can, so these are all that greedy filling can ask for.
+    """
+    spark = laid.sparkSession
+    places = spark.createDataFrame(sorted(behind.items()), "source string, behind long")  # one row a target
+    rows = laid.join(F.broadcast(places), "source").where(F.col("start") > F.col("behind"))
+    w = W.partitionBy("source", F.floor(F.log2("tokens")), F.pmod("h", F.lit(64))).orderBy("tokens", "start")
+    part = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= SMALLEST)  # a class is never in one task
+    w = W.partitionBy("source", F.floor(F.log2("tokens"))).orderBy("tokens", "start")
+    out: dict[str, list[tuple[int, int, int]]] = {s: [] for s in behind}
+    for r in part.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SMALLEST).select("source", "tokens", "start", "doc_id").collect():
+        out[r["source"]].append((r["tokens"], r["start"], r["doc_id"]))
     return out
 
 
+def _fill(laid: DataFrame, gaps: dict[str, int], done: dict[str, int], passes: dict[str, int], most: dict[str, int], block: int) -> DataFrame | None:
+    """Documents of partial passes: (source, doc_id, tokens, pass_no, at), in a fixed number of jobs.
+
+    A pass takes documents in seeded order up to the first that does not fit. The room left is filled, longest first, with
+    documents behind that one, then, if the cap allows, with documents of one more pass; both from a bounded choice.
+    """
+    spark = laid.sparkSession
+    live = {s: g for s, g in gaps.items() if g > 0 and passes[s] <= most[s]}
+    if not live:
+        return None
+    state = spark.createDataFrame([(s, g, done[s], passes[s]) for s, g in sorted(live.items())], "source string, gap long, done long, pass_no long")  # one row a target
+    fits = laid.join(F.broadcast(state), "source").where(F.col("start") + F.col("tokens") <= F.col("gap"))
+    used = fits.select("source", "doc_id", "tokens", "pass_no", (F.col("done") + F.col("start")).alias("at"))
+    ends = {r["source"]: r["end"] for r in fits.groupBy("source").agg(F.max(F.col("start") + F.col("tokens")).alias("end")).collect()}  # one row a target
+    rows: list[tuple[str, int, int, int, int]] = []
+    for extra in (0, 1):
+        room = {s: live[s] - ends.get(s, 0) for s in live}
+        behind = {s: (ends.get(s, 0) if not extra else -1) for s, r in room.items() if r >= block and passes[s] + extra <= most[s]}
+        if not behind:
+            break
+        for s, choice in _short_ones(laid, behind).items():
+            for tokens, _, doc in sorted(choice, key=lambda c: (-c[0], c[1])):
+                if tokens <= room[s]:
+                    rows.append((s, doc, tokens, passes[s] + extra, done[s] + ends.get(s, 0)))
+                    ends[s] = ends.get(s, 0) + tokens
+                    room[s] -= tokens
+    return used.unionByName(spark.createDataFrame(rows, "source string, doc_id long, tokens long, pass_no long, at long")) if rows else used
+
+
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(source, doc_id, pass_no, shard, block_no, tokens): one row for each use of a document."""
+    """(source, doc_id, pass_no, shard, block_no, tokens, quota): one row for each use of a document.
+
+    A document belongs to the block its first token lies in, and to the shard whose quota holds that block; ``quota`` is
+    the tokens of that source in that shard, which the last document of a shard may run over by less than its own length.
+    """
     spark = sizes.sparkSession
     rows = sizes.select("source", "doc_id", "tokens", F.xxhash64(F.lit(seed), "source", "doc_id").alias("h")).withColumn("range_no", F.pmod("h", F.lit(RANGES)))
     laid = cut(_starts(cut(rows), "start"))
-    goal = {r["source"]: (r["target_share"] or 0.0, max(1, r["max_repeats"] or 1)) for r in targets.collect() if r["source"] is not None}
+    goal = {r["source"]: (r["target_share"] or 0.0, 1 if r["max_repeats"] is None else max(0, r["max_repeats"])) for r in targets.collect() if r["source"] is not None}
     have = {r["source"]: r["n"] for r in laid.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # one row a target
-    shares = {s: w for s, (w, _) in goal.items() if w > 0 and have.get(s)}
+    shares = {s: w for s, (w, most) in goal.items() if w > 0 and most > 0 and have.get(s)}
     weight = sum(shares.values()) or 1.0
     reach = min((have[s] * goal[s][1] * weight / w for s, w in shares.items()), default=0)
     blocks = int((reach if total_tokens is None else total_tokens) // block)
@@ -138,8 +165,15 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, b
     if part is not None:
         used = used.unionByName(part)
     shard = F.least(F.size(F.filter("ends", lambda e: e <= F.col("block_no"))), F.lit(shards - 1))
-    placed = used.join(F.broadcast(plan.select("source", "ends")), "source").withColumn("block_no", F.floor(F.col("at") / block))
-    return placed.select("source", "doc_id", "pass_no", shard.alias("shard"), "block_no", "tokens")
+    placed = used.join(F.broadcast(plan.select("source", "ends")), "source").withColumn("block_no", F.floor(F.col("at") / block)).withColumn("shard", shard)
+    before = F.when(F.col("shard") > 0, F.get("ends", F.col("shard") - 1)).otherwise(0)
+    return placed.select("source", "doc_id", "pass_no", "shard", "block_no", "tokens", ((F.get("ends", F.col("shard")) - before) * block).alias("quota"))
+
+
+def shard_report(mixed: DataFrame) -> DataFrame:
+    """(source, shard, quota, tokens, over): what each shard got of each source against its quota; one row a source and shard."""
+    each = mixed.groupBy("source", "shard").agg(F.max("quota").alias("quota"), F.sum("tokens").alias("tokens"))
+    return each.withColumn("over", F.col("tokens") - F.col("quota"))
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

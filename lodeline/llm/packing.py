@@ -30,7 +30,7 @@ from lodeline.session import cut
 
 DIMENSIONS, BITS = 3, 10
 #: Neighbours that are placed together, longest first, and containers kept open from one window to the next.
-WINDOW, OPEN = 2_048, 256
+WINDOW, OPEN = 256, 256
 _WORDS = re.compile(r"\w+")
 
 
@@ -146,7 +146,7 @@ class Packer:
             del self.open[: len(self.open) - self.keep]
 
 
-def _pack(rooms: dict[str, int]):
+def _pack(rooms: dict[str, int], window: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         packer, name = None, None
@@ -167,7 +167,7 @@ def _pack(rooms: dict[str, int]):
                     done = flush(True)
                     if done is not None:
                         yield done
-                    packer, name = Packer(rooms[n], first), n
+                    packer, name = Packer(rooms[n], first, window), n
                 packer.add(doc_id, size)
             if packer is not None:
                 yield flush(False)
@@ -178,7 +178,7 @@ def _pack(rooms: dict[str, int]):
     return pack
 
 
-def pack_documents(sizes: DataFrame, containers: DataFrame) -> DataFrame:
+def pack_documents(sizes: DataFrame, containers: DataFrame, window: int = WINDOW) -> DataFrame:
     """(container_name, container_no, doc_id, piece_no, tokens): every document in containers of every kind.
 
     ``sizes`` is (doc_id, tokens, curve); ``containers`` is the register of kinds, one short row for each.
@@ -192,7 +192,7 @@ def pack_documents(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     # the folded key gives each kind and curve range its place, so that no kind waits for another
     ranged = items.repartitionByRange("container_name", "curve", "doc_id").sortWithinPartitions("container_name", "curve", "doc_id")
     schema = "container_name string, container_no long, doc_id long, piece_no long, tokens long"
-    return ranged.select("container_name", "doc_id", "tokens").mapInArrow(_pack(rooms), schema)
+    return ranged.select("container_name", "doc_id", "tokens").mapInArrow(_pack(rooms, window), schema)
 
 
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
@@ -201,3 +201,18 @@ def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     kinds = containers.select("container_name", (F.col("capacity_tokens") - F.coalesce("reserved_tokens", F.lit(0))).alias("room"))
     sums = each.groupBy("container_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("begun").alias("documents"), F.sum("used").alias("tokens"))
     return sums.join(F.broadcast(kinds), "container_name").select("container_name", "containers", "documents", "tokens", (F.col("tokens") / (F.col("containers") * F.col("room"))).alias("fill"))
+
+
+def locality_report(packed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(container_name, shared, apart, random): how near the documents of a container lie on the curve, one row a kind.
+
+    ``apart`` is the mean distance of a document's key from the mean of its container, over containers that two or more
+    documents share; ``random`` is the same distance from the mean of all, which containers filled without regard to the
+    curve come near. Both in parts of the whole curve.
+    """
+    whole = float(1 << (DIMENSIONS * BITS))
+    keyed = packed.join(sizes.select("doc_id", (F.col("curve") / whole).alias("at")), "doc_id")
+    means = keyed.groupBy("container_name", "container_no").agg(F.avg("at").alias("mid"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    every = keyed.groupBy("container_name").agg(F.avg("at").alias("all"))  # one row a kind
+    near = keyed.join(means, ["container_name", "container_no"]).join(F.broadcast(every), "container_name").groupBy("container_name")
+    return near.agg(F.count_distinct("container_no").alias("shared"), F.avg(F.abs(F.col("at") - F.col("mid"))).alias("apart"), F.avg(F.abs(F.col("at") - F.col("all"))).alias("random"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.llm import langid, mixing, packing, parsing, secrets
-from lodeline.session import table
+from lodeline.session import cut, table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,12 +47,45 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(packing.measured(table(spark, d, "documents")), kinds), kinds)
 
 
+def p7_locality(spark: SparkSession, d: str) -> DataFrame:
+    """How near the documents that share a container lie on the curve, against containers filled without regard to it."""
+    sizes = cut(packing.measured(table(spark, d, "documents")))
+    return packing.locality_report(packing.pack_documents(sizes, table(spark, d, "container_spec")), sizes)
+
+
+def p7_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: every document once and whole, no container over its room, no needless cut."""
+    sizes, kinds = cut(packing.measured(table(spark, d, "documents"))), table(spark, d, "container_spec")
+    packed = cut(packing.pack_documents(sizes, kinds))
+    rooms = kinds.select("container_name", (F.col("capacity_tokens") - F.coalesce("reserved_tokens", F.lit(0))).alias("room"))
+    docs = packed.groupBy("container_name", "doc_id").agg(F.sum("tokens").alias("got"), F.count(F.lit(1)).alias("pieces")).join(sizes, "doc_id").join(F.broadcast(rooms), "container_name")  # five rows
+    whole = docs.groupBy("container_name").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("got") != F.col("tokens")).alias("torn"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("room"))).alias("needless"))
+    full = packed.groupBy("container_name", "container_no").agg(F.sum("tokens").alias("used")).join(F.broadcast(rooms), "container_name").groupBy("container_name").agg(F.count_if(F.col("used") > F.col("room")).alias("over"))
+    return whole.join(full, "container_name")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """Every use of a document in the largest mix that meets all target shares."""
     targets = table(spark, d, "mix_target")
     return mixing.mix(mixing.sized(table(spark, d, "documents"), targets), targets)
 
 
+def p8_shards(spark: SparkSession, d: str) -> DataFrame:
+    """What each shard of the mix got of each source against its quota."""
+    targets = table(spark, d, "mix_target")
+    return mixing.shard_report(mixing.mix(mixing.sized(table(spark, d, "documents"), targets), targets))
+
+
+def p8_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any mix: no document more often than its source allows, none twice in a pass, shares as asked for."""
+    targets = table(spark, d, "mix_target")
+    mixed = cut(mixing.mix(mixing.sized(table(spark, d, "documents"), targets), targets))
+    uses = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pass_no").alias("passes"))
+    bad = uses.join(F.broadcast(targets), "source").groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("n") != F.col("passes")).alias("twice"))
+    report = mixing.share_report(mixed, targets)
+    return report.join(bad, "source", "left").select("source", F.coalesce("too_often", F.lit(0)).alias("too_often"), F.coalesce("twice", F.lit(0)).alias("twice"), (F.abs(F.col("actual_share") - F.col("target_share")) < 0.01).alias("on_target"))
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of each source."""
     targets = table(spark, d, "mix_target")
@@ -77,9 +110,17 @@ QUERIES = {
     "p5_rates": p5_rates,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p7_locality": p7_locality,
+    "p7_sound": p7_sound,
     "p8_mix": p8_mix,
+    "p8_shards": p8_shards,
+    "p8_sound": p8_sound,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_languages": p9_languages,
 }
-ORACLE: dict[str, str] = {}
+#: SQL cannot pack or mix; it can tell what must come out of the checks of any packing and mix.
+ORACLE: dict[str, str] = {
+    "p7_sound": "SELECT container_name, (SELECT count(*) FROM documents WHERE length(text) > 0) AS documents, 0 AS torn, 0 AS needless, 0 AS over FROM container_spec",
+    "p8_sound": "SELECT source, 0 AS too_often, 0 AS twice, true AS on_target FROM mix_target",
+}
