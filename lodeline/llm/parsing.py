@@ -1,9 +1,11 @@
 """Source files that do not parse: flagged one by one, and rates for each repository and language.
 
-Method: each language has a grammar bundled with this package (``syntax/script.peg``) that is compiled to a packrat
-parser, whose tables hold what every rule matched at every token; the whole token stream is parsed, and the first
-token from which no parse can go on is reported. Python files go to the table-driven parser that CPython generates
-from its own grammar and that every worker brings along. Marks of a merge outside strings and comments are errors.
+Method: each language has a grammar bundled with this package (``syntax/script.peg`` for JavaScript, TypeScript and TSX,
+``syntax/python.peg``) that is compiled to a packrat parser, whose tables hold what every rule matched at every token;
+the whole token stream is parsed, and the first token from which no parse can go on is reported. Statements that look
+alike to the parser are judged once. Marks of a merge outside strings and comments are errors. Python texts that the
+grammar takes are then handed to the compiler of the worker's own Python as an exact check of what no grammar tells
+(such as a return outside functions); it can only add errors.
 
 Defined cases: null texts and paths of no known extension are not judged; an empty text is valid; a text nested deeper
 than the parser's stack, or one Python refuses to read (null characters), is an error at its start; repeated rows are
@@ -20,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PYTHON = ("python",)
 
 
 def python_error(text: str) -> int | None:
-    """Offset of the first syntax error of a Python text, None if there is none."""
+    """Offset of the first error that the compiler of this Python finds in a text, None if there is none."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -40,11 +41,10 @@ def python_error(text: str) -> int | None:
 
 def first_error(language: str, text: str) -> int | None:
     """Offset of the first unrecoverable error, None for a valid text."""
-    if language in _PYTHON:
-        return python_error(text)
     from lodeline.llm.syntax.packrat import grammar
 
-    return grammar(language).first_error(text.removeprefix("﻿"))
+    at = grammar(language).first_error(text.removeprefix("\ufeff"))
+    return python_error(text) if at is None and language == "python" else at
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

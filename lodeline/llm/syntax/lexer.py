@@ -36,6 +36,43 @@ _HEADS = frozenset(("if", "while", "for", "with"))
 _BEFORE_OBJECT = frozenset(("(", ",", "=", ":", "[", "!", "&", "|", "?", "+", "-", "*", "/", "%", "~", "<", ">", "&&", "||", "??", "===", "!==", "==", "!=", "+=", "-=", "...", "=>", "return", "typeof", "in", "of", "new", "await", "yield", "case", "throw", "default", "??=", "||=", "&&="))
 
 
+_GROUP = re.compile(r"\(\?(?:[:=!]|<[=!]|<[A-Za-z_$][\w$]*>)|\((?!\?)")
+_REPEAT = re.compile(r"(?:[*+?]|\{(\d+)(?:,(\d*))?\})\??")
+
+
+def sound_pattern(body: str) -> bool:
+    """Whether groups of a regular expression close and every repeat has something to repeat, its bounds in order."""
+    i, n, depth, atom = 0, len(body), 0, False
+    while i < n:
+        c = body[i]
+        if c == "\\":
+            i, atom = i + 2, True
+        elif c == "[":
+            i += 1
+            while i < n and body[i] != "]":
+                i += 2 if body[i] == "\\" else 1
+            i, atom = i + 1, True
+        elif c == "(":
+            m = _GROUP.match(body, i)
+            if not m:
+                return False
+            i, depth, atom = m.end(), depth + 1, False
+        elif c == ")":
+            depth -= 1
+            if depth < 0:
+                return False
+            i, atom = i + 1, True
+        elif c == "|" or c == "^":
+            i, atom = i + 1, False
+        elif c in "*+?{" and (m := _REPEAT.match(body, i)):
+            if not atom or m.group(2) and int(m.group(1)) > int(m.group(2)):
+                return False
+            i, atom = m.end(), False
+        else:
+            i, atom = i + 1, True
+    return depth == 0
+
+
 class Stream:
     """Kinds, texts, offsets, line breaks and adjacency of all tokens; ``bad`` is the offset of the first that is none."""
 
@@ -114,7 +151,12 @@ class Stream:
             self.mark = 0
         while True:
             start = i
-            i, nl = self._skip(i)
+            if i < n and (text[i].isalnum() or text[i] in "().,;{}[]"):
+                nl = False
+            elif text[i : i + 1] == " " and i + 1 < n and (text[i + 1].isalnum() or text[i + 1] in "(){}=+-[]'\""):
+                nl, i = False, i + 1
+            else:
+                i, nl = self._skip(i)
             adj = i == start
             if i >= n:
                 return n
@@ -128,7 +170,7 @@ class Stream:
                 continue
             if c in "\"'":
                 m = _STRING.match(text, i)
-                if not m:
+                if not m or "\\u{" in m.group() and any(int(x, 16) > 0x10FFFF for x in re.findall(r"\\u\{([0-9a-fA-F]+)\}", m.group())):
                     return self._fail(i)
                 self._add(STR, "\u0000s", i, nl, adj)
                 i = m.end()
@@ -154,7 +196,7 @@ class Stream:
                 continue
             if c == "/" and self._value_next():
                 m = _REGEX.match(text, i)
-                if not m or len(set(m.group(1))) != len(m.group(1)) or not set(m.group(1)) <= set("dgimsuvy"):
+                if not m or len(set(m.group(1))) != len(m.group(1)) or not set(m.group(1)) <= set("dgimsuvy") or not sound_pattern(m.group()[1 : -1 - len(m.group(1))]):
                     return self._fail(i)
                 self._add(REGEX, "\u0000r", i, nl, adj)
                 i = m.end()
