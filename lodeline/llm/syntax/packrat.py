@@ -291,13 +291,49 @@ class PythonGrammar(Grammar):
         s = PY.Stream(text)
         if s.mark >= 0:
             return s.mark
-        args = (s.kind, s.word, None, None, self.reserved)
+        words = [w if k != PY.NAME or w in PY.KEYWORDS or w in _SOFT else "\0i" for k, w in zip(s.kind, s.word)]
+        for a, b in _blocks(s):
+            key = tuple(words[a:b])
+            sound = self._judged.get(key)
+            if sound is None:
+                if len(self._judged) > 50_000:
+                    self._judged.clear()
+                sound = self._judged[key] = self._run(self._fast, s, a, b) is None
+            if not sound:
+                break
+        else:
+            return None
+        # a block that is no whole statement by itself is judged again as part of its text
+        error = self._run(self._slow, s, 0, len(s.kind) - 1)
+        return None if error is None else s.at[min(error, len(s.at) - 1)]
+
+    def _run(self, parse, s: PY.Stream, a: int, b: int) -> int | None:
         try:
-            if self._fast(*args)[0] < 0:
-                return s.at[min(self._slow(*args)[1], len(s.at) - 1)]
+            end, far, _ = parse([*s.kind[a:b], PY.EOF], [*s.word[a:b], ""], None, None, self.reserved)
         except RecursionError:
             return 0
-        return None
+        return far if end < 0 else None
+
+
+#: Names that Python's grammar tells from others in some places.
+_SOFT = frozenset(("match", "case", "type", "_"))
+
+
+def _blocks(s: PY.Stream) -> list[tuple[int, int]]:
+    """Ranges of tokens that are statements by themselves: cut behind a line or block at the margin where no word goes on with it."""
+    out, start, depth, kind, word = [], 0, 0, s.kind, s.word
+    for i in range(len(kind) - 1):
+        k = kind[i]
+        if k == PY.INDENT:
+            depth += 1
+        elif k == PY.DEDENT:
+            depth -= 1
+        if depth == 0 and k in (PY.NEWLINE, PY.DEDENT) and kind[i + 1] not in (PY.INDENT, PY.DEDENT, PY.EOF) and word[i + 1] not in ("else", "elif", "except", "finally") and not (k == PY.NEWLINE and word[start] == "@"):
+            out.append((start, i + 1))
+            start = i + 1
+    if start < len(kind) - 1 or not out:
+        out.append((start, len(kind) - 1))
+    return out
 
 
 _GRAMMARS: dict[str, Grammar] = {}
