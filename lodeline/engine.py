@@ -66,18 +66,19 @@ class Engine:
         return self._ranked(hits)
 
     def search(self, line: str, limit: int = PAGE) -> DataFrame:
-        """Ranked hits. What a line names exactly (an id, a path, a source id) stands first; the rest is searched strictly,
-        and relaxed hits fill up behind. A path or id that names nothing is searched like prose."""
+        """Ranked hits. What a line names exactly (an id, a path, a source id) is the answer; a line that names nothing is
+        searched strictly, and relaxed hits fill up behind."""
         line, limit = line.strip()[:1024], R.clamp_limit(limit)
         exact = self.entities.where((F.col("id") == line) | (R.attribute("path") == line) | (F.col("source_id") == line))
         exact = self._ranked(exact.select("id", F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("sources"))).withColumn("tier", F.lit(0))
         q = S.parse(line)
         hits = exact
         if q.terms:
-            strict = self._hits(q).withColumn("tier", F.lit(1))
-            hits = hits.unionByName(strict)
+            loose = self._hits(q).withColumn("tier", F.lit(1))
             if S.relaxed(q) != q:
-                hits = hits.unionByName(self._hits(S.relaxed(q)).withColumn("tier", F.lit(2)))
+                loose = loose.unionByName(self._hits(S.relaxed(q)).withColumn("tier", F.lit(2)))
+            unnamed = exact.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0)  # one row or none
+            hits = exact.unionByName(loose.join(F.broadcast(unnamed), how="left_semi"))
         best = G.first_of(hits, ["id"], [F.col("tier"), F.col("score").desc()])
         return best.orderBy("tier", *S.rank_order()).limit(limit)
 
