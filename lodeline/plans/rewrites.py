@@ -108,7 +108,10 @@ def resolve_references(spark, d):
     return Y.resolve(refs, Y.declarations(files))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT source, doc_id, coalesce(n_chars, 0) AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL),
+f AS (SELECT source, 0::BIGINT AS k, 0::BIGINT AS used, NULL::BIGINT AS doc_id FROM (SELECT DISTINCT source FROM c) UNION ALL
+ SELECT f.source, c.k, CASE WHEN f.used + c.cost <= 4000 THEN f.used + c.cost ELSE f.used END, CASE WHEN f.used + c.cost <= 4000 THEN c.doc_id END FROM f JOIN c ON c.source = f.source AND c.k = f.k + 1)
+SELECT source, doc_id FROM f WHERE doc_id IS NOT NULL""")
 def budget_admit(spark, d):
     rows = table(spark, d, "documents").where(F.col("source").isNotNull()).select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("cost"))
     return M.admit(rows, ["source"], "doc_id", "cost", 4000)
