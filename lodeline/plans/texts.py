@@ -556,9 +556,10 @@ def semantic_nearest(spark, d):
 
 
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) AS g FROM t WHERE len(w) > 0),
+v AS (SELECT doc_id, i, n, x, lead(x, 1) OVER o AS x2, lead(x, 2) OVER o AS x3, lead(x, 3) OVER o AS x4, lead(x, 4) OVER o AS x5 FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS n FROM t) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, list_sort(list(DISTINCT hash(concat_ws(' ', x, x2, x3, x4, x5)))) AS g FROM v WHERE x5 IS NOT NULL OR (i = 1 AND n < 5) GROUP BY 1),
 k AS (SELECT doc_id, md5(g::VARCHAR) AS sig, g FROM s), c AS (SELECT sig, min(doc_id) AS class_id, any_value(g) AS g FROM k GROUP BY 1), u AS (SELECT class_id, len(g) AS n, unnest(g) AS x FROM c),
-p AS (SELECT a.class_id AS x, b.class_id AS y, count(*) AS both, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.x = b.x AND a.class_id < b.class_id GROUP BY 1, 2), l AS (SELECT x, y FROM p WHERE both >= 0.8 * (na + nb - both)),
+p AS (SELECT a.class_id AS x, b.class_id AS y, count(*) AS cm, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.x = b.x AND a.class_id < b.class_id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY 1, 2), l AS (SELECT x, y FROM p WHERE cm >= 0.8 * (na + nb - cm)),
 e AS (SELECT class_id, count(*) AS links FROM (SELECT x AS class_id FROM l UNION ALL SELECT y FROM l) GROUP BY 1)
 SELECT doc_id, class_id, coalesce(links, 0) AS links FROM k JOIN c USING (sig) LEFT JOIN e USING (class_id)""")
 def near_duplicates(spark, d):
