@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from lodeline.session import cut
 
 #: Queries compared at once with a partition; bounds what a task and the driver hold.
 QUERY_BLOCK = 4_096
+#: Buckets that shingles are counted in, to tell rare from frequent ones; a power of 2.
+BUCKETS = 1 << 16
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
@@ -80,40 +85,79 @@ def _nearest_block(vectors: DataFrame, rows: list, k: int) -> DataFrame:
 def shingles(docs: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, s): hashes of the distinct runs of n words; a text with fewer words has one of all its words.
 
-    Words are numbered and meet their followers by shifted slices of one array, so a long text costs time in
-    proportion to its length.
+    Words become hashes first, and those meet their followers by shifted slices of one array, so a long text costs time
+    in proportion to its length. Texts without words are told by their characters, so that no text is split twice.
     """
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    split = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0)
+    split = docs.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
     runs = F.col("w") if n == 1 else F.arrays_zip(*[F.slice("w", k + 1, F.greatest(F.lit(1), F.size("w") - n + 1)).alias(f"w{k}") for k in range(n)])
     return split.select("doc_id", F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r))).alias("s"))
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A signature of each document's set; at the end how often shingles of each bucket came."""
+    seen = np.zeros(BUCKETS, dtype=np.int64)
+    for batch in batches:
+        sets = batch.column("s")
+        values, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
+        seen += np.bincount(values[ends[0] : ends[-1]] & (BUCKETS - 1), minlength=BUCKETS)
+        names = [hashlib.blake2b(np.sort(values[a:b]).tobytes(), digest_size=16).digest() for a, b in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), pa.nulls(len(names), pa.int64())], ["doc_id", "sig", "n"])
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.binary()), pa.array(seen[at])], ["doc_id", "sig", "n"])
+
+
+def _prefixes(counts: np.ndarray, threshold: float):
+    """The rarest shingles of each set, as many as it must share one of with a similar set."""
+
+    def cut_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column("s")
+            values, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
+            of, size, g = [], [], []
+            for doc, a, b in zip(batch.column("doc_id").to_numpy(), ends, ends[1:]):
+                s, k = values[a:b], b - a - math.ceil((b - a) * threshold - 1e-9) + 1
+                rank = np.lexsort((s, counts[s & (BUCKETS - 1)]))[:k]
+                g.append(s[rank])
+                of.append(np.full(len(rank), doc))
+                size.append(np.full(len(rank), b - a))
+            if g:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in ((of, pa.int64()), (size, pa.int32()), (g, pa.int64()))], ["class_id", "size", "g"])
+
+    return cut_off
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """(doc_id, class_id, links): one row a document; the class holds texts with equal shingles, ``links`` counts other
     classes at least ``threshold`` similar (Jaccard over shingles of n words).
 
     Exact: equal shingle sets collapse first, so copies never meet in pairs; each class is then found under the rarest
-    shingles of its set, as many as two similar sets must share one of (prefix filter), and pairs are verified in full.
+    shingles of its set, as many as two similar sets must share one of (prefix filter). What two sets share outside both
+    prefixes lies behind the prefix that ends first, so pairs with too few common shingles in front go, and the others
+    are verified in full. Any one order of all shingles serves; here it is how often their bucket of ``BUCKETS`` came,
+    so no row a shingle is shuffled to count them. Sets are made again from the texts where they are needed; only
+    prefixes and the sets of pairs are shuffled.
     """
-    sets = shingles(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), n)
-    signature = F.sha2(F.concat_ws(",", F.array_sort("s")), 256)
-    keyed = cut(sets.select("doc_id", signature.alias("sig"), "s"))
-    classes = cut(keyed.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("s").alias("s"), F.count(F.lit(1)).alias("copies")))
-    rows = classes.select("class_id", F.size("s").alias("size"), F.explode("s").alias("g"))
-    ranked = rows.join(rows.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "g").where(F.col("df") > 1)
-    # shingles that occur once cannot be shared: they fill the front of the prefix and need not be joined
-    single = classes.select("class_id", F.size("s").alias("size")).join(ranked.groupBy("class_id").agg(F.count(F.lit(1)).alias("shared")), "class_id")
-    room = single.select("class_id", (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.col("shared"))).alias("room")).where(F.col("room") > 0)
-    w = W.partitionBy("class_id").orderBy("df", "g")
-    prefix = ranked.join(room, "class_id").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= F.col("room")).select("class_id", "size", "g")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    noted = cut(shingles(docs, n).mapInArrow(_signed, "doc_id long, sig binary, n long"))
+    keyed = noted.where(F.col("sig").isNotNull()).select("doc_id", "sig")
+    came = noted.where(F.col("n").isNotNull()).groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[came["doc_id"].to_numpy()] = came["n"].to_numpy()
+    classes = cut(keyed.groupBy("sig").agg(F.min("doc_id").alias("class_id")))
+    firsts = docs.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    prefix = shingles(firsts, n).mapInArrow(_prefixes(counts, threshold), "class_id long, size int, g long")
     a, b = prefix.alias("a"), prefix.alias("b")
     close = (F.col("a.class_id") < F.col("b.class_id")) & (F.col("a.size") >= F.col("b.size") * threshold) & (F.col("b.size") >= F.col("a.size") * threshold)
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & close).select(F.col("a.class_id").alias("x"), F.col("b.class_id").alias("y")).distinct()
-    full = classes.select("class_id", "s")
-    both = pairs.join(full.select(F.col("class_id").alias("x"), F.col("s").alias("sx")), "x").join(full.select(F.col("class_id").alias("y"), F.col("s").alias("sy")), "y")
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & close).groupBy(F.col("a.class_id").alias("x"), F.col("b.class_id").alias("y"), F.col("a.size").alias("nx"), F.col("b.size").alias("ny"))
+    behind = F.ceil(F.greatest("nx", "ny") * threshold - 1e-9) - 1  # the longer rest
+    most = F.col("front") + behind
+    pairs = cut(met.agg(F.count(F.lit(1)).alias("front")).where(most >= threshold * (F.col("nx") + F.col("ny") - most) - 1e-6).select("x", "y"))
+    ends = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
+    full = shingles(docs.join(ends, "doc_id", "left_semi"), n)
+    both = pairs.join(full.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(full.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
     links = cut(both.where(common >= threshold * (F.size("sx") + F.size("sy") - common)).select("x", "y"))
-    ends = links.select(F.col("x").alias("class_id")).unionByName(links.select(F.col("y").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    named = keyed.select("doc_id", "sig").join(classes.select("sig", "class_id"), "sig")
-    return named.join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    linked = links.select(F.col("x").alias("class_id")).unionByName(links.select(F.col("y").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    named = keyed.join(classes, "sig")
+    return named.join(linked, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))

@@ -214,3 +214,21 @@ def test_nearest_and_near_duplicates_against_brute_force(spark):
         links = sum(1 for o in classes if o != s and len(o & s) >= 0.8 * len(o | s))
         assert out[i]["class_id"] == classes[s] and out[i]["links"] == links
     assert set(out) == set(sets)
+
+
+def test_near_duplicates_keeps_no_sets_and_finds_all_pairs(spark, monkeypatch):
+    rnd = random.Random(8)
+    frequent = [f"f{i}" for i in range(30)]
+    texts = [" ".join(frequent + [f"w{rnd.randrange(99)}" for _ in range(k)]) for k in (0, 3, 8, 9) for _ in range(8)]
+    texts += [" ".join(t.split()[k:]) for t in texts for k in (1, 4, 6)]
+    kept, cut = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda df: kept.append(df.columns) or cut(df))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in D.near_duplicates(docs).collect()}
+    assert kept and not any("s" in columns for columns in kept)  # sets take more room than the texts they are made of
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    classes = list(dict.fromkeys(sets))
+    for i, s in enumerate(sets):
+        assert out[i]["class_id"] == sets.index(s)
+        assert out[i]["links"] == sum(o != s and len(o & s) >= 0.8 * len(o | s) for o in classes)
+    assert D.near_duplicates(docs.limit(0)).collect() == []
