@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeline.session import cut
+from lodeline.session import cut, cut_round
 
 #: Nodes of one repository up to which one task peels them (about 150 bytes each in Python).
 PEEL_ROWS = 300_000
@@ -107,7 +107,8 @@ def _jump(state: DataFrame, more: list[str], moved: dict) -> DataFrame:
     open_, done = state.where(F.col("ptr").isNotNull()), state.where(F.col("ptr").isNull())
     target = state.select("repo_id", F.col("sha").alias("ptr"), F.col("ptr").alias("ptr2"), *[F.col(c).alias(f"{c}2") for c in more])
     joined = open_.join(target, ["repo_id", "ptr"], "left").withColumns(moved).withColumn("ptr", F.col("ptr2"))
-    return joined.select(state.columns).unionByName(done)
+    # the union has the partitions of both, which would add up from round to round and fill the driver with tasks
+    return joined.select(state.columns).unionByName(done).coalesce(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _sibling_steps(trees: DataFrame) -> DataFrame:
@@ -127,40 +128,68 @@ def _sibling_steps(trees: DataFrame) -> DataFrame:
     return inside.join(parts, ["repo_id", "parent", "size", "part"]).select("repo_id", "sha", step.alias("step"), (step == 1).alias("eldest"))
 
 
-def double(nodes: DataFrame) -> DataFrame:
-    """The same columns by pointer doubling over joins; ``nodes`` is (repo_id, sha, parent)."""
+def _peel_rest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Root and depth of what doubling left open in one repository; ``over`` and ``above`` are those of a finished parent."""
+    rows = rows.reset_index(drop=True)
+    up = pd.Index(rows["sha"]).get_indexer(rows["parent"])
+    root, depth, *_ = peel(up.astype(np.int64))
+    found = root >= 0
+    top = np.maximum(root, 0)
+    rows["root_sha"] = np.where(found, rows["over"].to_numpy()[top], "")
+    rows["depth"] = np.where(found, rows["above"].fillna(0).to_numpy(dtype=np.int64)[top] + 1 + depth, depth)
+    return rows[["repo_id", "sha", "parent", "root_sha", "depth"]]
+
+
+def rooted(nodes: DataFrame, peel_rows: int = PEEL_ROWS) -> DataFrame:
+    """(repo_id, sha, parent, root_sha, depth) by pointer doubling over joins; ``nodes`` is (repo_id, sha, parent).
+
+    Rounds end as soon as no repository has more than ``peel_rows`` nodes that still point somewhere: those are peeled.
+    Otherwise each node on or leading to a cycle would take part in log2(2n) rounds, however shallow the trees are.
+    """
     key = ["repo_id", "sha"]
     named = nodes.where(F.col("parent").isNotNull())
     own = nodes.select("repo_id", F.col("sha").alias("parent"))
     known = named.join(own, ["repo_id", "parent"], "left_semi").select(*key, "parent")
-    roots = nodes.select(*key).join(known.select(*key), key, "left_anti").select(*key, F.lit(None).cast("string").alias("parent"))
-    base = known.unionByName(roots)
-    state = cut(base.select(*key, "parent", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.lit(1).cast("long").alias("size")))
-    n, step = state.count(), 1
-    while step < 2 * n:
-        open_ = state.where(F.col("ptr").isNotNull())
-        if not open_.take(1):
-            break
-        # sizes: everything less than 2*step below a node, from its own share and that of the nodes `step` below
-        handed = open_.groupBy("repo_id", F.col("ptr").alias("sha")).agg(F.sum("size").alias("handed"))
-        grown = _jump(state, ["dist"], {"dist": F.col("dist") + F.coalesce("dist2", F.lit(0))})
-        state = cut(grown.join(handed, key, "left").withColumn("size", F.col("size") + F.coalesce("handed", F.lit(0))).drop("handed"))
+    base = cut(nodes.select(*key).join(known, key, "left"))
+    top = F.col("parent").isNull()
+    state, n, step = base.select(*key, F.col("parent").alias("ptr"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), F.when(top, F.col("sha")).alias("root_sha")), base.count(), 1
+    while step < 2 * n and state.where(F.col("ptr").isNotNull()).groupBy("repo_id").count().where(F.col("count") > peel_rows).take(1):
+        state = cut_round(_jump(state, ["depth", "root_sha"], {"depth": F.col("depth") + F.coalesce("depth2", F.lit(0)), "root_sha": F.coalesce("root_sha", "root_sha2")}))
         step *= 2
+    done, open_ = state.where(F.col("ptr").isNull()).select(*key, "root_sha", "depth"), state.where(F.col("ptr").isNotNull())
+    if step < 2 * n:
+        ends = done.select("repo_id", F.col("sha").alias("parent"), F.col("root_sha").alias("over"), F.col("depth").alias("above"))
+        rest = open_.select(*key).join(base, key).join(ends, ["repo_id", "parent"], "left")
+        rest = rest.groupBy("repo_id").applyInPandas(_peel_rest, "repo_id string, sha string, parent string, root_sha string, depth long")
+        return done.join(base, key).select(rest.columns).unionByName(rest)
     # who still points somewhere after more steps than there are nodes points onto a cycle
-    on_cycle = state.where(F.col("ptr").isNotNull()).select("repo_id", F.col("ptr").alias("sha")).distinct().withColumn("on_cycle", F.lit(True))
-    depth = F.when(F.col("ptr").isNull(), F.col("dist")).when(F.col("on_cycle"), -1).otherwise(-2).cast("long")
-    placed = cut(state.join(on_cycle, key, "left").select(*key, "parent", depth.alias("depth"), F.when(F.col("ptr").isNull(), F.col("size")).alias("size")))
-    trees = placed.where(F.col("depth") >= 0)
+    on_cycle = open_.select("repo_id", F.col("ptr").alias("sha")).distinct().withColumn("on_cycle", F.lit(True))
+    cyclic = open_.join(on_cycle, key, "left").select(*key, F.lit("").alias("root_sha"), F.when(F.col("on_cycle"), -1).otherwise(-2).cast("long").alias("depth"))
+    return done.unionByName(cyclic).join(base, key).select(*key, "parent", "root_sha", "depth")
+
+
+def double(nodes: DataFrame, peel_rows: int = PEEL_ROWS) -> DataFrame:
+    """The same columns by pointer doubling over joins; ``nodes`` is (repo_id, sha, parent)."""
+    key = ["repo_id", "sha"]
+    found = cut(rooted(nodes, peel_rows))
+    base = found.where(F.col("depth") >= 0)
+    state = cut(base.select(*key, F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("size")))
+    while (open_ := state.where(F.col("ptr").isNotNull())).take(1):
+        # everything less than 2*step below a node, from its own share and that of the nodes `step` below
+        handed = open_.groupBy("repo_id", F.col("ptr").alias("sha")).agg(F.sum("size").alias("handed"))
+        grown = _jump(state, [], {})
+        state = cut_round(grown.join(handed, key, "left").withColumn("size", F.col("size") + F.coalesce("handed", F.lit(0))).drop("handed"))
+    trees = cut(base.join(state.select(*key, "size"), key).select(*key, "parent", "depth", "size"))
     # preorder: a node's place is the sum of the steps on its path
     steps = trees.join(_sibling_steps(trees), key, "left").withColumns({"step": F.coalesce("step", F.lit(0)), "eldest": F.coalesce("eldest", F.lit(False))})
     walk = cut(steps.select(*key, "parent", "depth", "size", "eldest", F.col("parent").alias("ptr"), F.col("step").cast("long").alias("pre"), F.when(F.col("parent").isNull(), F.col("sha")).alias("root_sha")))
     while walk.where(F.col("ptr").isNotNull()).take(1):
-        walk = cut(_jump(walk, ["pre", "root_sha"], {"pre": F.col("pre") + F.coalesce("pre2", F.lit(0)), "root_sha": F.coalesce("root_sha", "root_sha2")}))
+        walk = cut_round(_jump(walk, ["pre", "root_sha"], {"pre": F.col("pre") + F.coalesce("pre2", F.lit(0)), "root_sha": F.coalesce("root_sha", "root_sha2")}))
     # heavy paths: eldest children point up until they reach the first node of their path
     start = F.when(~F.col("eldest"), F.col("sha"))
     heads = cut(walk.select(*key, F.when(F.col("eldest"), F.col("parent")).alias("ptr"), start.alias("first")))
     while heads.where(F.col("ptr").isNotNull()).take(1):
-        heads = cut(_jump(heads, ["first"], {"first": F.coalesce("first", "first2")}))
+        heads = cut_round(_jump(heads, ["first"], {"first": F.coalesce("first", "first2")}))
     firsts = walk.select("repo_id", F.col("sha").alias("first"), F.col("pre").alias("head"), F.col("parent").alias("over"))
     overs = walk.select("repo_id", F.col("sha").alias("over"), F.col("pre").alias("up"))
     top = firsts.where(F.col("over").isNull()).withColumn("up", F.lit(None).cast("long"))
@@ -168,19 +197,23 @@ def double(nodes: DataFrame) -> DataFrame:
     paths = heads.join(top.unionByName(low).drop("over"), ["repo_id", "first"]).select(*key, "head", "up")
     columns = [*key, "parent", "root_sha", "depth", "pre", "size", "head", "up"]
     none = F.lit(None).cast("long")
-    cyclic = placed.where(F.col("depth") < 0).withColumns({"root_sha": F.lit(""), "pre": none, "size": none, "head": none, "up": none})
+    cyclic = found.where(F.col("depth") < 0).withColumns({"root_sha": F.lit(""), "pre": none, "size": none, "head": none, "up": none})
     return walk.join(paths, key).select(columns).unionByName(cyclic.select(columns))
 
 
-def hierarchy(commits: DataFrame, peel_rows: int = PEEL_ROWS) -> DataFrame:
-    """(repo_id, sha, parent, root_sha, depth, pre, size, head, up): one row for each commit of each repository."""
+def hierarchy(commits: DataFrame, peel_rows: int = PEEL_ROWS, places: bool = True) -> DataFrame:
+    """(repo_id, sha, parent, root_sha, depth, pre, size, head, up): one row for each commit of each repository.
+
+    Without ``places`` only the first five, which takes a third of the rounds for large repositories.
+    """
     nodes = links(commits)
     sizes = commits.where(F.col("repo_id").isNotNull()).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
     large = cut(sizes.where(F.col("n") > peel_rows).select("repo_id"))  # at most rows / peel_rows names
+    columns = ["repo_id", "sha", "parent", "root_sha", "depth", *(["pre", "size", "head", "up"] if places else [])]
     if not large.take(1):
-        return nodes.groupBy("repo_id").applyInPandas(_peel_repository, SCHEMA)
-    small = nodes.join(large, "repo_id", "left_anti").groupBy("repo_id").applyInPandas(_peel_repository, SCHEMA)
-    return small.unionByName(double(nodes.join(large, "repo_id", "left_semi")).select(small.columns))
+        return nodes.groupBy("repo_id").applyInPandas(_peel_repository, SCHEMA).select(columns)
+    small = nodes.join(large, "repo_id", "left_anti").groupBy("repo_id").applyInPandas(_peel_repository, SCHEMA).select(columns)
+    return small.unionByName((double if places else rooted)(nodes.join(large, "repo_id", "left_semi"), peel_rows).select(columns))
 
 
 def _wanted(tree: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
@@ -205,7 +238,7 @@ def ancestors(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     ranges, over = at.drop("up"), tree.where(F.col("pre").isNotNull()).select("repo_id", "root_sha", F.col("pre").alias("hi"), F.col("head").alias("lo"), F.col("up").alias("next"))
     while at.where(F.col("up").isNotNull()).take(1):
         climb = at.where(F.col("up").isNotNull()).select("repo_id", "root_sha", "sha", F.col("up").alias("hi"))
-        at = cut(climb.join(over, ["repo_id", "root_sha", "hi"]).select("repo_id", "root_sha", "sha", "hi", "lo", F.col("next").alias("up")))
+        at = cut_round(climb.join(over, ["repo_id", "root_sha", "hi"]).select("repo_id", "root_sha", "sha", "hi", "lo", F.col("next").alias("up")))
         ranges = ranges.unionByName(at.drop("up"))
     return _in_ranges(ranges, tree, "ancestor")
 

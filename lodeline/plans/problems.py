@@ -96,7 +96,7 @@ def p3_withheld(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Root and depth of each commit in the first-parent forest of its repository."""
-    return hierarchy(table(spark, d, "commit_record")).select("repo_id", "sha", "root_sha", "depth")
+    return hierarchy(table(spark, d, "commit_record"), places=False).select("repo_id", "sha", "root_sha", "depth")
 
 
 def p6_subtrees(spark: SparkSession, d: str) -> DataFrame:

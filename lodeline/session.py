@@ -38,6 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut`` for loops: the planner's size estimate goes as well.
+
+    A checkpoint keeps the estimate, and a join multiplies those of its sides, so joining a table with itself doubles
+    the digits of that number in each round, until the driver has no memory left for it.
+    """
+    spark, rows = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), spark)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for a table that a job writes and reads again."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -111,3 +111,20 @@ def test_long_chain_and_empty(spark):
     assert (head == 0).all() and (above == -1).all()
     assert (root == 0).all() and (depth == np.arange(n)).all() and (pre == np.arange(n)).all() and (size == np.arange(n, 0, -1)).all()
     assert hierarchy(spark.createDataFrame([], C)).count() == 0
+
+
+def test_large_repositories_without_places_and_with_few_rounds(spark, monkeypatch):
+    from lodeline.operators import hierarchy as H
+
+    data = made(11) + [(10_000 + i, "hot", f"deep{i}", [f"deep{i - 1}"] if i else None, datetime(2020, 1, 1), "x", "y") for i in range(60)]
+    want, _ = brute(data)
+    df = spark.createDataFrame(data, C)
+    for bound, most in ((1, 40), (80, 2)):  # all rounds to the end; open ones peeled
+        kept, cut = [], H.cut_round
+        monkeypatch.setattr(H, "cut_round", lambda d: kept.append(cut(d)) or kept[-1])
+        got = hierarchy(df, bound, places=False).collect()
+        monkeypatch.setattr(H, "cut_round", cut)
+        assert {(r["repo_id"], r["sha"]): (r["root_sha"], r["depth"]) for r in got} == want and len(got) == len(want)
+        assert len(kept) <= most
+        assert max(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() for d in kept or [df]) <= 100  # no growth by rounds
+        assert max(d.rdd.getNumPartitions() for d in kept or [df]) <= 4  # as many as spark.sql.shuffle.partitions, in every round
