@@ -122,6 +122,18 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(tree, _asked(spark, d))
 
 
+def p6_all_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The whole path from the root of every commit in a tree."""
+    tree = cut(hierarchy(table(spark, d, "commit_record")))
+    return ancestors(tree, tree)
+
+
+def p6_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every commit in a tree."""
+    tree = cut(hierarchy(table(spark, d, "commit_record")))
+    return descendants(tree, tree)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_versions": p1_versions,
@@ -134,6 +146,8 @@ QUERIES = {
     "p6_subtrees": p6_subtrees,
     "p6_paths": p6_paths,
     "p6_descendants": p6_descendants,
+    "p6_all_paths": p6_all_paths,
+    "p6_all_descendants": p6_all_descendants,
 }
 
 _HISTORY_SQL = """
@@ -190,6 +204,7 @@ UNION ALL SELECT repo_id, sha, '', CASE WHEN EXISTS (SELECT 1 FROM walk w WHERE
 """
 _TREE_SQL = _FOREST_SQL[: _FOREST_SQL.index("rest AS")].rstrip().rstrip(",")
 _ASKED_SQL = "a AS (SELECT DISTINCT repo_id, sha FROM commit_record WHERE row_id % 50 = 0)"
+_ALL_SQL = "a AS (SELECT DISTINCT repo_id, sha FROM commit_record)"
 _PATHS_SQL = f"""{_TREE_SQL}, {_ASKED_SQL}, up AS (SELECT t.repo_id, t.sha, t.sha AS at FROM tree t JOIN a USING (repo_id, sha)
   UNION ALL SELECT u.repo_id, u.sha, n.parent FROM up u JOIN node n ON n.repo_id = u.repo_id AND n.sha = u.at WHERE n.parent IS NOT NULL)
 SELECT u.repo_id, u.sha, u.at AS ancestor_sha, t.depth AS ancestor_depth FROM up u JOIN tree t ON t.repo_id = u.repo_id AND t.sha = u.at"""
@@ -208,4 +223,6 @@ ORACLE = {
     "p6_paths": _PATHS_SQL,
     "p6_descendants": _BELOW_SQL,
     "p6_subtrees": _SUBTREES_SQL,
+    "p6_all_paths": _PATHS_SQL.replace(_ASKED_SQL, _ALL_SQL),
+    "p6_all_descendants": _BELOW_SQL.replace(_ASKED_SQL, _ALL_SQL),
 }

@@ -128,3 +128,14 @@ def test_large_repositories_without_places_and_with_few_rounds(spark, monkeypatc
         assert len(kept) <= most
         assert max(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() for d in kept or [df]) <= 100  # no growth by rounds
         assert max(d.rdd.getNumPartitions() for d in kept or [df]) <= 4  # as many as spark.sql.shuffle.partitions, in every round
+
+
+def test_paths_and_descendants_of_all_commits_are_registered(spark, tmp_path):
+    from lodeline.plans.problems import QUERIES
+
+    data = [(i, "r", f"s{i}", [f"s{i - 1}"] if i % 40 else None, datetime(2020, 1, 1), "x", "y") for i in range(1, 120)]
+    spark.createDataFrame(data, C).write.parquet(f"{tmp_path}/commit_record.parquet")
+    want, _ = brute(data)
+    paths = QUERIES["p6_all_paths"](spark, str(tmp_path)).collect()
+    assert {(r["repo_id"], r["sha"]) for r in paths} == set(want) and len(paths) == sum(d + 1 for _, d in want.values())
+    assert QUERIES["p6_all_descendants"](spark, str(tmp_path)).count() == sum(d for _, d in want.values())
